@@ -240,8 +240,10 @@ def _found(index: DataFrame, sent) -> DataFrame:
                     d, s, n, k = (np.concatenate(x) for x in (doc, start, length, item))
                     order = np.argsort(d, kind="stable")
                     d, s, n, k = d[order], s[order], n[order], k[order]
-                    edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
-                    for a, b in zip(edges, [*edges[1:], len(d)], strict=True):
+                    edges = [0, *(np.flatnonzero(d[1:] != d[:-1]) + 1).tolist(), len(d)]
+                    for a, b in zip(edges, edges[1:], strict=False):
+                        if a == b:
+                            continue
                         spans[d[a]] = _merged(s[a:b], n[a:b])
                         items[d[a]] = sorted({names[x] for x in k[a:b]})
                 ids = row_id + np.arange(len(seg.doc_ids))

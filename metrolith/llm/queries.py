@@ -1,9 +1,11 @@
 """The registered query of each operator, and DuckDB SQL where SQL can express it."""
 
-from metrolith.llm import op02_decontamination
+from metrolith.llm import op02_decontamination, op04_simhash, op10_packing
 
 QUERIES = {
     "op2_decontamination": op02_decontamination.op2_decontamination,
+    "op4_simhash_near_dedup": op04_simhash.op4_simhash_near_dedup,
+    "op10_harmonic_packing": op10_packing.op10_harmonic_packing,
 }
 
 ORACLES = {

@@ -35,7 +35,7 @@ CLASSES = 16
 SLACK = 0.01
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-WORDS_HELD = 400_000
+WORDS_HELD = 600_000
 
 RESULT_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -55,9 +55,13 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
 
+        model = tokenizer.model
+        # The tokenizer's own spelling of each plain character; a word then goes to its model alone.
+        spelled = str.maketrans({c: tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN})
+
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                ids = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = np.array([t.id for t in model.tokenize(word.translate(spelled))], "<u4").tobytes()
                 self[word] = ids
                 return ids
 

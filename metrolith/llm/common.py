@@ -48,6 +48,11 @@ class Staged:
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checked(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A broadcast of a staged table of a few short columns if it has at most `most` rows; else the table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; others, whatever they are called, play no part."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import Staged, narrow, read
+from metrolith.llm.common import Staged, read
 
 WINDOW = 2
 
@@ -53,11 +53,14 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     )
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept), a row per document row; `kept` is the text that stays."""
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept), a row per document row; `kept` is the text that stays. The columns
+    named in `carry` follow, in a struct `carried`."""
     staged = Staged(spark, "op1")
     text = F.coalesce("text", F.lit(""))
-    docs = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).alias("none"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), carried.alias("carried"))
+    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), "carried")
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
     docs = docs.withColumn("lines", lines)
     windows = staged.put(_windows(docs, window))
@@ -70,11 +73,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i") + 1, F.col("i") + F.col("w"))))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "gone")
 
-    out = docs.select("doc_id", "th", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
+    out = docs.select("doc_id", "th", "text", "carried").join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     out = out.withColumn("lines", lines).withColumn("n_lines", F.size("lines").cast("bigint"))
     stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda j: F.element_at("lines", j)), "\n"))
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("gone").cast("bigint"), F.lit(0)).alias("n_removed"), kept.alias("kept"))
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("gone").cast("bigint"), F.lit(0)).alias("n_removed"), kept.alias("kept"), "carried")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

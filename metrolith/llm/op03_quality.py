@@ -195,6 +195,22 @@ def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text
     return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, score double")
 
 
+def accepted(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold; needs no shuffle."""
+    tables = network.tables() if network else None
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+                keep = network.scores(texts, tables) >= threshold if network else np.ones(len(texts), bool)
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, train(docs, read(spark, sf_dir, "labels")))

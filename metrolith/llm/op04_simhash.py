@@ -57,14 +57,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _steps(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -201,7 +202,7 @@ def components(edges: DataFrame, staged: Staged) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row per document row."""
+    """(doc_id, fingerprint, component_id, text_hash), a row per document row; text_hash tells rows of one id apart."""
     staged = Staged(spark, "op4")
     own = staged.put(fingerprints(docs, id_col, text_col, shingle))
     nodes = staged.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -213,8 +214,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rooted = staged.put(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.filter("fp <> root").join(least, "root").select("fp", "component_id").unionByName(least.select(F.col("root").alias("fp"), "component_id"))
-    return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, read(spark, sf_dir, "documents"))
+    return near_duplicates(spark, read(spark, sf_dir, "documents")).drop("text_hash")

@@ -41,7 +41,7 @@ LENGTH = 200
 ANCHOR = 48
 BLOCK_BYTES = 1 << 19
 BUCKET_BYTES = 1 << 20
-MOST = 2048
+MOST = 16_384  # contexts of one anchor in one bucket: about 5 MB of text, 400 MB in its worker
 
 RESULT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 ANCHOR_SCHEMA = "anchor bigint, ctx bigint, doc_id bigint, th int, s0 int, n int"
@@ -115,7 +115,7 @@ class RunLengthIndex:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         head = np.concatenate([[True], ordered[1:] != ordered[:-1]]) | ~alive[order]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         levels = [(width, rank)]
         while True:
@@ -124,7 +124,7 @@ class RunLengthIndex:
             if not len(slots):
                 return order, levels
             at = order[slots]
-            key = rank[at] * n + rank[at + width]
+            key = rank[at].astype(np.int64) * n + rank[at + width]
             turn = np.argsort(key, kind="stable")
             at, key = at[turn], key[turn]
             order[slots] = at
@@ -283,6 +283,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     docs = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.hash("doc_id", "text").alias("th"), "text")
     rows = staged.put(_anchors(docs, length, anchor))
     groups = rows.groupBy("anchor").agg(F.count("*").alias("g"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("g > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    groups = staged.put(groups)  # a table, so that adaptive execution may split the join where an anchor is hot
     shared = staged.put(rows.join(groups, "anchor"))
     staged.drop(rows)
 

@@ -39,18 +39,15 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
     docs = docs.filter(F.size("lines") > 0).withColumn("hashes", hashes).withColumn("w", w)
     docs = docs.withColumn("picks", F.transform(F.sequence(F.lit(0), F.size("lines") - F.col("w")), chosen))
-    rows = docs.select("doc_id", "th", "lines", "w", "picks", F.posexplode("picks").alias("i", "pick"))
-    whole = F.slice("lines", F.col("i") + 1, F.col("w"))
-    return rows.select(
-        "doc_id",
-        "th",
-        "i",
-        "w",
-        F.col("pick.h").alias("print"),
-        F.when(F.col("i") == 0, True).otherwise(F.col("pick.back") != F.get("picks", F.col("i") - 1).getField("back")).alias("new"),
-        F.xxhash64(F.lit(1), "w", whole).alias("k1"),
-        F.xxhash64(F.lit(2), "w", whole).alias("k2"),
-    )
+
+    def place(pick: Column, i: Column) -> Column:
+        whole = F.slice("lines", i + 1, F.col("w"))
+        new = F.when(i == 0, True).otherwise(pick["back"] != F.get("picks", i - 1).getField("back"))
+        return F.struct(i.alias("i"), pick["h"].alias("print"), new.alias("new"), F.xxhash64(F.lit(1), "w", whole).alias("k1"), F.xxhash64(F.lit(2), "w", whole).alias("k2"))
+
+    # Windows are made within the row, so that exploding copies no lines.
+    docs = docs.select("doc_id", "th", "w", F.explode(F.transform("picks", place)).alias("p"))
+    return docs.select("doc_id", "th", "p.i", "w", "p.print", "p.new", "p.k1", "p.k2")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -66,9 +63,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     windows = staged.put(_windows(docs, window))
 
     shared = windows.filter("new").groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print")
+    shared = staged.put(shared)  # tables, so that adaptive execution may split the joins where a line is hot
     alive = windows.join(shared, "print", "left_semi").select("doc_id", "th", "i", "w", "k1", "k2")
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "th", "i")
     first = alive.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").select("k1", "k2", "first")
+    first = staged.put(first)
     later = alive.join(first, ["k1", "k2"]).filter(~F.col("first").eqNullSafe(place))
     gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i") + 1, F.col("i") + F.col("w"))))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "gone")

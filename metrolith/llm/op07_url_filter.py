@@ -72,8 +72,11 @@ def grams(host: Column, path: Column) -> Column:
 
     def of(side: str, text: Column) -> Column:
         text = F.concat(F.lit("<"), text, F.lit(">"))
-        lists = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.lit(side), F.substr(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int")) for n in SIZES]
-        return F.concat(*lists)
+        def sized(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+            return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(side), F.substr(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+
+        return F.concat(*[sized(n) for n in SIZES])
 
     return F.when(host == "", F.array().cast("array<int>")).otherwise(F.concat(of("host", host), of("path", path)))
 

@@ -2,9 +2,9 @@
 
 Every `K` consecutive code points have a rolling hash; of each `WINDOW` consecutive hashes the smallest is
 kept, the rightmost on ties, with its position.  Texts that share K + WINDOW - 1 code points share a
-fingerprint, wherever the passage stands.  A fingerprint string is a list of records of 24 hexadecimal
-digits: 16 of the hash, 8 of the position.  The likeness of two fingerprints is the Jaccard index of their
-hash sets.
+fingerprint, wherever the passage stands.  A fingerprint string is a list of records of 16 hexadecimal
+digits: 11 of the hash (44 bits), 5 of the distance from the last kept position, which is below WINDOW + 1;
+positions() reads it.  The likeness of two fingerprints is the Jaccard index of their hash sets.
 
 To compare each document with the next one, documents are dealt into ranges of doc_id, sorted within each,
 and each range also gets a copy of the next range's first document; so texts shuffle once and only
@@ -34,7 +34,7 @@ RESULT_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprin
 
 _HASH = Rolling(7411, 1 << 12)
 _LOW = np.uint64((1 << 20) - 1)
-_RECORD = np.dtype([("hash", ">u8"), ("at", ">u4")])
+FLUSH_ROWS = 128
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +45,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     k = min(k, n)
     grams = n - k + 1
-    window = min(window, grams)
+    window = min(window, grams, 1 << 19)
     hashes, places = [], []
     for a in range(0, grams - window + 1, STEP):  # windows that start in [a, a + STEP)
         part = points[a : a + STEP + window + k - 2]
@@ -65,9 +65,16 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
 
 
 def written(hashes: np.ndarray, places: np.ndarray) -> str:
-    out = np.empty(len(hashes), _RECORD)
-    out["hash"], out["at"] = hashes, places
-    return out.tobytes().hex()
+    return (hashes | np.diff(places, prepend=0).astype(np.uint64)).astype(">u8").tobytes().hex()
+
+
+def positions(fingerprint: str) -> list[tuple[str, int]]:
+    """(hash, position) of each record of a fingerprint string."""
+    at, out = 0, []
+    for i in range(0, len(fingerprint), 16):
+        at += int(fingerprint[i + 11 : i + 16], 16)
+        out.append((fingerprint[i : i + 11], at))
+    return out
 
 
 def likeness(a: set, b: set) -> float:
@@ -131,8 +138,14 @@ def compared(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str
         held: tuple[int | None, Printed] | None = None
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        out: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out.clear()
+            return batch
+
         for batch in batches:
-            out = []
             for ghost, doc_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 now = Printed(text.as_py())
                 if held is not None:
@@ -141,8 +154,10 @@ def compared(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str
                     hashes, places = winnow(new)
                     out.append((held[0], len(own.text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own.string, written(hashes, places), likeness(own.set, set(hashes.tolist())), likeness(own.set, now.set)))
                 held = None if ghost else (doc_id, now)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                if len(out) >= FLUSH_ROWS:
+                    yield flushed()
+        if out:
+            yield flushed()
 
     return with_next(narrow(docs, doc_id=id_col, text=text_col), ranges).mapInArrow(run, RESULT_SCHEMA)
 

@@ -6,7 +6,7 @@ texts that hold entity e, and P(e|t) the share of those with term t that hold it
 mutual information log2(P(e|t) / P(e)) is set against the entity's own information -log2 P(e).  A term that
 stands with an entity in at least `SUPPORT` different texts and gives away at least `DISCLOSED` of the
 entity's information is itself protected: every occurrence becomes a span of kind `term`, which
-sanitised() generalises like the others.  Equal texts count once, so plain copies prove nothing.
+sanitised() generalises like the others.  Equal texts are one text to SUPPORT, so plain copies prove nothing.
 
 Only terms of texts with an entity that stands in SUPPORT texts are candidates; their frequencies are
 counted over all texts.  All counts are distinct sums with map-side combination; texts meet their terms by
@@ -24,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import Staged, narrow, read
+from metrolith.llm.common import Staged, checked, narrow, read
 
 SUPPORT = 3
 DISCLOSED = 0.95
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 200_000
 WORD = r"[A-Za-z\x{80}-\x{10FFFF}]{3,}"
 
 # The query's patterns. A match can only begin at the start of a run of its leading
@@ -110,32 +110,33 @@ def _joined(spans: Column) -> Column:
 
 
 def disclosing_terms(staged: Staged, docs: DataFrame, base: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(doc_id, th, terms): for each document the terms in it that disclose a protected entity.
+    """(doc_id, th, terms): for each document the terms in it that disclose a protected entity; staged.
 
     docs: (doc_id, th, text); base: (doc_id, th, spans). th is a hash of the text.
     """
-    n = docs.select("th").distinct().count()
-    held = base.filter(F.size("spans") > 0)
-    entities = held.select("th", F.explode("spans").alias("s")).select("th", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity")).distinct()
-    common = entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = staged.put(entities.join(common, "entity"))
 
     def words(df: DataFrame) -> DataFrame:
         return df.withColumn("term", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))))
 
-    near = docs.join(pairs.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    both = words(near).select("th", "term").join(pairs, "th").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    both = staged.put(both)
-    terms = both.select("term").distinct()
+    n = docs.count()
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    entities = base.filter(F.size("spans") > 0).select("th", F.explode(named).alias("entity")).groupBy("th", "entity").agg(F.count("*").alias("copies"))
+    common = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).drop("texts")
+    pairs = staged.put(entities.join(common, "entity"))
+    held = staged.put(pairs.select("th").distinct())
+    near = docs.join(checked(held), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    both = words(near).select("th", "term").join(pairs, "th").groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
+    both = staged.put(both.filter(F.col("texts") >= support))
+    terms = staged.put(both.select("term").distinct())
     k = terms.count()
-    if not k:
-        return docs.select("doc_id", "th", F.array().cast("array<string>").alias("terms")).limit(0)
-    terms = F.broadcast(terms) if k <= BROADCAST_ROWS else terms
-    seen = staged.put(words(docs).select("doc_id", "th", "term").join(terms, "term"))
-    counts = seen.select("term", "th").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    if k <= BROADCAST_ROWS:
+        counts = words(docs).select("term").join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    else:  # then every term is summed, on the map side first
+        counts = words(docs).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     told = F.try_divide(F.log2(F.col("n_both") * n / (F.col("n_t") * F.col("n_e"))), F.log2(n / F.col("n_e")))
-    bad = both.join(counts, "term").filter((F.col("n_e") < n) & (told >= disclosed)).select("term").distinct()
-    return seen.join(bad, "term").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    bad = staged.put(both.join(counts, "term").filter((F.col("n_e") < n) & (told >= disclosed)).select("term").distinct())
+    seen = words(docs).select("doc_id", "th", "term").join(checked(bad, BROADCAST_ROWS), "term")
+    return staged.put(seen.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("term")).alias("terms")))
 
 
 def find_pii(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
@@ -153,7 +154,7 @@ def _located_terms(staged: Staged, docs: DataFrame, base: DataFrame, listed: Dat
     edge = r"[A-Za-z\x{80}-\x{10FFFF}]"
     # A term is a whole word; its letters need no quoting.
     pattern = F.concat(F.lit(rf"(?iu)(?<!{edge})(?:"), F.array_join("terms", "|"), F.lit(rf")(?!{edge})"))
-    found = docs.alias("d").join(listed.alias("l"), same("d", "l")).select("d.doc_id", "d.th", located(F.col("d.text"), pattern, "term").alias("terms")).dropDuplicates(["doc_id", "th"])
+    found = docs.alias("d").join(checked(listed, BROADCAST_ROWS).alias("l"), same("d", "l")).select("d.doc_id", "d.th", located(F.col("d.text"), pattern, "term").alias("terms")).dropDuplicates(["doc_id", "th"])
     out = base.alias("b").join(found.alias("f"), same("b", "f"), "left")
     free = F.filter(F.coalesce("f.terms", F.array().cast(SPAN)), lambda t: ~F.exists(F.col("b.spans"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return out.select("b.doc_id", "b.th", F.col("b.spans").alias("base"), free.alias("terms"))

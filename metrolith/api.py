@@ -18,8 +18,8 @@ def normalize_units(df: DataFrame, form_col: str, text_col: str | None = None) -
     """Adds unit_norm and unit_key of a column of unit forms: as it is, then lower-cased, then singular."""
     words = F.split(F.lower(F.col(f"`{text_col}`")), r"[^\p{L}]+") if text_col else F.array().cast("array<string>")
     form = F.col(f"`{form_col}`")
-    out = resolved(df.withColumn("_words", words), "unit", [form, F.lower(form), tokens.singular(form)], F.col("_words"))
-    return out.drop("_words")
+    out = df.withColumn("_words", words).withColumn("_unit", resolved([form, F.lower(form), tokens.singular(form)], F.col("_words")))
+    return out.select(*df.columns, F.col("_unit.n").alias("unit_norm"), F.col("_unit.k").alias("unit_key"))
 
 
 def disambiguate(df: DataFrame, form_col: str, text_col: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from metrolith.functions.lexicon import PREFIXES
+from metrolith.functions.spans import constant_lookup
 
 SI = ("n", "μ", "µ", "m", "c", "d", "k", "M", "G", "T")
 BINARY = ("k", "M", "G", "T", "P", "E", "Ki", "Mi", "Gi", "Ti", "Pi")
@@ -266,6 +268,11 @@ def catalog_frame(spark: SparkSession) -> DataFrame:
 
 
 def forms_frame(spark: SparkSession) -> DataFrame:
-    """(form, norm, key, entity, kind): the catalog's bounded look-up table, prefixes crossed in beforehand."""
+    """(form, norm, unit_key, entity, form_kind): the catalog's bounded look-up table, prefixes crossed in beforehand."""
     rows = [(f, *v) for f, v in FORMS.items()]
     return spark.createDataFrame(rows, "form string, norm string, unit_key string, entity string, form_kind string")
+
+
+def lookup(form: Column) -> Column:
+    """struct(n norm, k key) of a form, null if the catalog does not know it."""
+    return constant_lookup({f: {"n": norm, "k": key} for f, (norm, key, _, _) in FORMS.items()}, "struct<n:string,k:string>", form)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -20,6 +21,20 @@ def constant_map(values: dict, of: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"map<string,{of}>")
 
 
+def constant_lookup(values: dict, of: str, key: Column) -> Column:
+    """A large constant map's value of a key, null if it has none.
+
+    The map is one literal of the plan, an array of small maps by the key's checksum, because Spark searches a
+    map from its first entry to its last.
+    """
+    n = max(1, len(values) // 8)
+    buckets: list[dict] = [{} for _ in range(n)]
+    for k, v in values.items():
+        buckets[zlib.crc32(k.encode()) % n][k] = v
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{of}>>")
+    return let(key, lambda x: F.try_element_at(F.get(table, F.pmod(F.crc32(x.cast("binary")), F.lit(n)).cast("int")), x))
+
+
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 

@@ -12,7 +12,7 @@ from metrolith.functions.bounds import WORDS as BOUND_WORDS
 from metrolith.functions.catalog import CATALOG, FORMS
 from metrolith.functions.ignore import MARK
 from metrolith.functions.lexicon import BROAD, FRACTIONS, NUMBER_WORDS, SCALES, STOP_WORDS, VERBS, pattern
-from metrolith.functions.spans import let, located
+from metrolith.functions.spans import constant_lookup, let, located
 
 _HYPHENED = sorted((w for w in [*NUMBER_WORDS, *FRACTIONS] if "-" in w), key=len, reverse=True)
 
@@ -23,7 +23,7 @@ TOKEN = "|".join(
         r"[0-9][0-9,.]*×10\^?[−-]?[0-9]+|[0-9][0-9,.]*×10[⁰¹²³⁴⁵⁶⁷⁸⁹⁻]+|[0-9][0-9,.]*×?[eE][+−-]?[0-9]+\b",
         r"\b[0-9]+[/⁄]+[0-9]+\b",
         r"[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|\.[0-9]+",
-        r"(?i:\b(?:" + "|".join(_HYPHENED) + r")\b)",
+        r"(?i:\b" + pattern(_HYPHENED)[1:-1] + r"\b)",
         r"\bsq (?:m|ft)\b",
         r"(?i:\bdegrees? (?:c[a-z]*els?c?ius|fah?renheit)\b)|°[CcFf](?:elsius|elcius|entigrade)?\b",
         r"(?U)[\w%$€£]+/\w+",
@@ -46,48 +46,36 @@ _STOPS = tuple(dict.fromkeys(w for w in [*STOP_WORDS, *VERBS] if w != "minus"))
 CLASSES = "dwsSfcubmqthARvoOPixk().glNnz"
 
 
+def _letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Class letters by the token as it is (currencies, units) and by its lower case (everything else)."""
+    low: dict[str, str] = {}
+    for letter, words in (
+        ("w", NUMBER_WORDS), ("s", SCALES), ("S", BROAD), ("f", FRACTIONS), ("m", ("minus",)), ("q", ("than", "by", "at")), ("t", ("to",)), ("h", ("-", "–")), ("A", ("and",)), ("R", ("or",)), ("v", ("between", "from")),
+        ("o", ("of",)), ("O", ("out",)), ("P", ("per",)), ("i", ("a", "an")), ("x", ("x", "×")), ("k", (",",)), ("(", ("(",)), (")", (")",)), (".", (".", "?", "!")), ("g", ("for", "off")),
+        ("b", (*BOUND_WORDS, "<", ">", "<=", ">=", "< =", "> =", "~", "~=", "~ =", "≈", "=")), ("l", _STOPS), ("u", (u for u in _UNITS if u == u.lower())),
+    ):
+        for w in words:
+            low.setdefault(w, letter)
+    exact = {c: "c" for c in _CURRENCY} | {u: "u" for u in _UNITS if u != u.lower()}
+    return exact, low
+
+
+_EXACT, _LOW = _letters()
+
+
 def klass(token: Column) -> Column:
-    return let(F.struct(token.alias("token"), F.lower(token).alias("low")), lambda t: _klass(t["token"], t["low"]))
+    def of(t: Column) -> Column:
+        known = F.coalesce(constant_lookup(_EXACT, "string", t), constant_lookup(_LOW, "string", F.lower(t)))
+        shape = F.when(t.rlike(r"^[\p{L}%$€£]+/[\p{L}0-9]+$"), "u").when(t.rlike(r"^\p{Lu}"), "N").when(t.rlike(r"^\p{L}"), "n").otherwise("z")
+        return F.when(t.rlike(r"^[0-9.]*[0-9]"), "d").otherwise(F.coalesce(known, shape))
+
+    return let(token, of)
 
 
 def is_stop(word: Column) -> Column:
     return F.lower(word).rlike(pattern(_STOPS))
 
 
-def _klass(token: Column, low: Column) -> Column:
-    return (
-        F.when(token.rlike(r"^[0-9.]*[0-9]"), "d")
-        .when(low.rlike(pattern(NUMBER_WORDS)), "w")
-        .when(low.rlike(pattern(SCALES)), "s")
-        .when(low.rlike(pattern(BROAD)), "S")
-        .when(low.rlike(pattern(FRACTIONS)), "f")
-        .when(token.rlike(pattern(_CURRENCY)), "c")
-        .when(low == "minus", "m")
-        .when(low.isin("than", "by", "at"), "q")
-        .when(low == "to", "t")
-        .when(token.isin("-", "–"), "h")
-        .when(low == "and", "A")
-        .when(low == "or", "R")
-        .when(low.isin("between", "from"), "v")
-        .when(low == "of", "o")
-        .when(low == "out", "O")
-        .when(low == "per", "P")
-        .when(low.isin("a", "an"), "i")
-        .when(token.isin("x", "×"), "x")
-        .when(token == ",", "k")
-        .when(token == "(", "(")
-        .when(token == ")", ")")
-        .when(token.isin(".", "?", "!"), ".")
-        .when(low.isin("for", "off"), "g")
-        .when(low.rlike(pattern(BOUND_WORDS)) | token.rlike(r"^(?:[<>]\s?=?|~\s?=?|≈|=)$"), "b")
-        .when(low.rlike(pattern(_STOPS)), "l")
-        .when(token.rlike(pattern(_UNITS)) | low.rlike(pattern(_UNITS)) | token.rlike(r"^[\p{L}%$€£]+/[\p{L}0-9]+$"), "u")
-        .when(token.rlike(r"^\p{Lu}"), "N")
-        .when(token.rlike(r"^\p{L}"), "n")
-        .otherwise("z")
-    )
-
-
 def tokens(text: Column) -> Column:
     """(start, end, text) of each token."""
     return located(text, TOKEN)

@@ -2,8 +2,11 @@
 
 A text is normalized, cut into sentences and tokens, and each token gets a class letter (functions.tokens).
 The shapes of quantities are regular expressions over a sentence's letters; each match is exploded into
-rows, and value, bound, unit and concept are column expressions over the matched token ranges.  Units meet
-the catalog's table of forms in broadcast joins: the table is a constant of the package.
+rows, and value, bound, unit and concept are column expressions over the matched token ranges.  Units are
+looked up in the catalog's table of forms, a constant of the package and one literal of the plan.
+
+Rows are dropped at the very end only, after an explode: a filter further down would have its condition
+pushed below the projections and so computed twice, and the optimizer would reason about it at length.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.functions import bounds, ignore, numbers, textnorm, tokens
-from metrolith.functions.catalog import AMBIGUOUS, CUES, FORMS, forms_frame
+from metrolith.functions.catalog import AMBIGUOUS, CUES, FORMS, lookup
 from metrolith.functions.lexicon import BROAD, FRACTIONS, MODEL_MARKS, NAME_EXEMPT, NAME_MARKS, NUMBER_WORDS, SCALES, UNIT_BLACKLIST
 from metrolith.functions.spans import SPANS, constant_map, let, located, masked
 
@@ -80,7 +83,7 @@ def tokenized(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ()
     ids = [F.col(f"`{c}`") for c in id_cols]
     text = F.col(f"`{text_col}`")
     out = df.filter(may_hold_numbers(text)).select(*ids, textnorm.normalize(text).alias("_norm"))
-    out = out.select(*ids, F.posexplode(located(F.col("_norm"), r"(?s).+?(?:[.!?](?= +\p{Lu})|$)")).alias("sent_no", "_sent"))
+    out = out.select(*ids, F.posexplode_outer(located(F.col("_norm"), r"(?s).+?(?:[.!?](?= +\p{Lu})|$)")).alias("sent_no", "_sent"))
     out = out.select(*ids, "sent_no", F.col("_sent.start").alias("base"), tokens.tokens(ignore.mask(F.col("_sent.text"))).alias("toks"))
     return out.select(*ids, "sent_no", "base", "toks", tokens.classes(F.col("toks")).alias("code"))
 
@@ -92,7 +95,7 @@ def chunked(sentences: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
     ids = [F.col(f"`{c}`") for c in id_cols]
     kept = [*ids, "sent_no", "base", "toks", "code", "plain"]
     sentences = sentences.select(*kept[:-1], masked(F.col("code"), CHUNK, "z").alias("plain"))
-    out = sentences.select(*kept, F.explode(located(F.col("code"), CHUNK)).alias("c"))
+    out = sentences.select(*kept, F.explode_outer(located(F.col("code"), CHUNK)).alias("c"))
     out = out.select(*kept, F.col("c.start").alias("from"), F.col("c.end").alias("to"), F.col("c.text").alias("chunk"), _shape(F.col("c.text")).alias("shape"))
     out = out.select(*kept, "from", "to", "chunk", "shape", _lengths(F.col("shape"), F.col("chunk")).alias("n"))
     sums = F.transform("n", lambda _, i: F.col("from") + F.aggregate(F.slice("n", F.lit(1), i), F.lit(0), lambda a, b: a + b))
@@ -101,7 +104,7 @@ def chunked(sentences: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
     out = out.select(*kept, "from", "to", "chunk", "shape", *places)
     group = F.substr("code", F.col("at_1") + 1, F.col("n_1"))
     values = F.when(F.col("shape").isin(*_MULTIPLE), located(group, _VALUE)).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.col("n_1").alias("end"), F.lit("").alias("text"))).cast(SPANS))
-    out = out.withColumn("value", F.explode(values))
+    out = out.withColumn("value", F.explode_outer(values))
     return out.withColumn("a_at", F.col("at_1") + F.col("value.start")).withColumn("a_n", F.col("value.end") - F.col("value.start")).drop("value")
 
 
@@ -133,19 +136,13 @@ def _reading(form: Column, norm: Column, words: Column) -> Column:
     return let(F.try_element_at(known, form), chosen)
 
 
-def resolved(df: DataFrame, prefix: str, forms: Sequence[Column], words: Column) -> DataFrame:
-    """Adds <prefix>_norm, <prefix>_key: the first of the forms that the catalog knows."""
-    table = F.broadcast(forms_frame(df.sparkSession))  # a constant of the package
-    names = []
-    for i, form in enumerate(forms):
-        name = f"_{prefix}{i}"
-        lookup = table.select(F.col("form").alias(f"{name}_f"), F.col("norm").alias(f"{name}_n"), F.col("unit_key").alias(f"{name}_k"))
-        df = df.withColumn(name, form).join(lookup, F.col(name) == F.col(f"{name}_f"), "left")
-        names.append(name)
-    norm = F.coalesce(*[F.when(F.col(f"{n}_n").isNotNull(), _reading(F.col(n), F.col(f"{n}_n"), words)) for n in names])
-    key = F.coalesce(*[F.col(f"{n}_k") for n in names])
-    df = df.withColumn(f"{prefix}_norm", norm).withColumn(f"{prefix}_key", key)
-    return df.drop(*[f"{n}{s}" for n in names for s in ("", "_f", "_n", "_k")])
+def resolved(forms: Sequence[Column], words: Column) -> Column:
+    """struct(n norm, k key) of the first of the forms that the catalog knows, read in the words' context."""
+
+    def one(form: Column) -> Column:
+        return let(form, lambda f: let(lookup(f), lambda hit: F.when(hit.isNotNull(), F.struct(_reading(f, hit["n"], words).alias("n"), hit["k"].alias("k")))))
+
+    return F.coalesce(*[one(f) for f in forms])
 
 
 def _concepts(toks: Column, code: Column, plain: Column, start: Column, end: Column, b_at: Column, b_n: Column) -> Column:
@@ -209,27 +206,39 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
     tail = lambda c: F.get(c, F.size(c) - 1)
     rows = rows.select("*", numbers.number(F.col("a_words")).alias("one"), numbers.number(F.col("z_words")).alias("two"), numbers.scale(tail(F.col("a_words"))).alias("a_scale"), numbers.scale(tail(F.col("z_words"))).alias("z_scale"), broad.alias("broad"))
     lower, upper = _sides(shape)
-    rows = rows.withColumns({"lower": lower, "upper": upper}).filter("lower is not null")
-
     # `12 m users`: m is million and the next noun the unit.
-    is_m = (F.get("u_words", F.lit(0)) == "m") & (F.size("u_words") == 1) & F.col("next_class").isin("n", "N") & F.col("c_word").isNull() & (F.col("upper") - F.col("lower") <= 100)
-    is_m = F.coalesce(F.when(F.size("u_words") > 0, is_m), F.lit(False))
-    rows = rows.withColumn("is_m", is_m)
-    times = F.when(F.col("is_m"), 1e6).otherwise(1.0) * F.when(F.col("minus"), -1.0).otherwise(1.0)
-    rows = rows.withColumn("lower", F.col("lower") * times).withColumn("upper", F.col("upper") * F.when(F.col("is_m"), 1e6).otherwise(1.0) * F.when(F.col("minus") & ~shape.isin("between", "range"), -1.0).otherwise(1.0))
-    rows = rows.withColumn("u_words", F.when(F.col("is_m"), F.array("next")).otherwise(F.col("u_words")))
+    is_m = (F.get("u_words", F.lit(0)) == "m") & (F.size("u_words") == 1) & F.col("next_class").isin("n", "N") & F.col("c_word").isNull()
+    rows = rows.select("*", lower.alias("low"), upper.alias("high"), F.coalesce(is_m, F.lit(False)).alias("may_m"))
+    rows = rows.withColumn("is_m", F.coalesce(F.col("may_m") & (F.col("high") - F.col("low") <= 100), F.lit(False)))
+    million = F.when(F.col("is_m"), 1e6).otherwise(1.0)
+    rows = rows.withColumns(
+        {
+            "lower": F.col("low") * million * F.when(F.col("minus"), -1.0).otherwise(1.0),
+            "upper": F.col("high") * million * F.when(F.col("minus") & ~shape.isin("between", "range"), -1.0).otherwise(1.0),
+            "u_words": F.when(F.col("is_m"), F.array("next")).otherwise(F.col("u_words")),
+        }
+    )
 
     # Unit: the currency before the number, else the words after it; `a/b` and `a per b` have two sides.
-    last = F.get("u_words", F.size("u_words") - 1)
+    rows = rows.withColumn("u_last", F.get("u_words", F.size("u_words") - 1))
+    rows = rows.withColumn("slash", F.coalesce(F.col("u_last").contains("/") & F.col("c_word").isNull(), F.lit(False)))
+    last, slash = F.col("u_last"), F.col("slash")
     whole = F.when(F.size("u_words") > 0, F.array_join("u_words", " "))
-    slash = F.coalesce(last.contains("/"), F.lit(False))
-    left_text = F.when(F.col("c_word").isNotNull(), F.replace("c_word", F.lit(" "), F.lit(""))).when(slash, F.split_part(last, F.lit("/"), F.lit(1))).otherwise(whole)
-    left_last = F.when(F.col("c_word").isNull() & ~slash, last)
-    right = F.when(slash & F.col("c_word").isNull(), F.split_part(last, F.lit("/"), F.lit(2))).when(F.size("p_words") > 0, F.array_join("p_words", " "))
-    right_last = F.get("p_words", F.size("p_words") - 1)
-    rows = rows.withColumn("left_text", left_text).withColumn("left_last", left_last).withColumn("right_text", right).withColumn("right_last", right_last)
-    rows = resolved(rows, "left", [F.col("left_text"), F.lower("left_text"), F.col("left_last"), tokens.singular(F.col("left_last"))], F.col("words"))
-    rows = resolved(rows, "right", [F.col("right_text"), tokens.singular(F.col("right_text")), tokens.singular(F.col("right_last"))], F.col("words"))
+    rows = rows.withColumns(
+        {
+            "left_text": F.when(F.col("c_word").isNotNull(), F.replace("c_word", F.lit(" "), F.lit(""))).when(slash, F.split_part(last, F.lit("/"), F.lit(1))).otherwise(whole),
+            "left_last": F.when(F.col("c_word").isNull() & ~slash, last),
+            "right_text": F.when(slash, F.split_part(last, F.lit("/"), F.lit(2))).when(F.size("p_words") > 0, F.array_join("p_words", " ")),
+            "right_last": F.get("p_words", F.size("p_words") - 1),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "left": resolved([F.col("left_text"), F.lower("left_text"), F.col("left_last"), tokens.singular(F.col("left_last"))], F.col("words")),
+            "right": resolved([F.col("right_text"), tokens.singular(F.col("right_text")), tokens.singular(F.col("right_last"))], F.col("words")),
+        }
+    )
+    rows = rows.withColumns({"left_norm": F.col("left.n"), "left_key": F.col("left.k"), "right_norm": F.col("right.n"), "right_key": F.col("right.k")})
 
     noun = F.when(F.col("left_text").isNotNull(), F.array_join(F.transform(F.split("left_text", " "), tokens.singular), " "))
     right_norm = F.coalesce("right_norm", tokens.singular(F.col("right_text")))
@@ -246,7 +255,7 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
     named = bare & F.coalesce(F.col("previous_class").isin("n", "N"), F.lit(False)) & ~F.lower("previous").isin(*NAME_EXEMPT) & ~F.col("previous").rlike("ed$") & ~F.col("minus")
     marked = F.coalesce(F.col("previous").isin(*NAME_MARKS), F.lit(False)) | F.coalesce(F.col("next").isin(*MODEL_MARKS), F.lit(False)) | F.exists("u_words", lambda w: w.isin(*MODEL_MARKS))
     coded = ~F.col("unit_scientific") & F.col("unit_norm").rlike("[0-9]") & (shape != "one_of")
-    rows = rows.filter(~(F.coalesce(named, F.lit(False)) | marked | coded))
+    kept = F.col("lower").isNotNull() & ~(F.coalesce(named, F.lit(False)) | marked | coded)
 
     span = lambda at, n: F.when((at >= 0) & (n > 0), F.struct((F.col("base") + F.get(toks, at)["start"]).alias("start"), (F.col("base") + F.get(toks, at + n - 1)["end"]).alias("end")))
     spans = lambda *s: F.filter(F.array(*s), lambda x: x.isNotNull())
@@ -255,18 +264,16 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
     keys = F.filter(F.array("left_key", "right_key"), lambda k: k.isNotNull())
     surface = F.filter(F.flatten(F.array(F.when(F.col("c_word").isNotNull(), F.array("c_word")).otherwise(F.col("u_words")), F.when(F.size("p_words") > 0, F.concat(F.array(_text(toks, F.col("at_p"))), F.col("p_words"))).otherwise(F.array().cast("array<string>")))), lambda w: w.isNotNull())
     concepts = F.when(shape == "one_of", F.array().cast("array<string>")).otherwise(_concepts(toks, code, F.col("plain"), F.col("from"), F.col("to"), F.col("at_b"), F.col("n_b")))
-    return rows.select(
-        *ids,
-        "sent_no",
+    quantity = F.struct(
         (F.col("base") + F.get(toks, F.col("a_at"))["start"]).alias("ord"),
-        "change",
+        F.col("change"),
         F.when(ranged | shape.isin("between", "range", "broad"), "range").otherwise("value").alias("kind"),
         F.when(~ranged, F.col("lower")).alias("value"),
-        "lower",
-        "upper",
+        F.col("lower"),
+        F.col("upper"),
         surface.alias("unit_surface"),
-        "unit_norm",
-        "unit_scientific",
+        F.col("unit_norm"),
+        F.col("unit_scientific"),
         keys.alias("unit_keys"),
         concepts.alias("concepts"),
         opened.alias("in_bracket"),
@@ -276,3 +283,6 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
         F.when(~ranged, numbers.short_notation(F.col("lower"))).otherwise(F.concat_ws("-", numbers.short_notation(F.col("lower")), numbers.short_notation(F.col("upper")))).alias("sci_short"),
         (shape == "one_of").alias("one_of"),
     )
+    out = rows.select(*ids, "sent_no", F.when(kept, quantity).alias("_q"))
+    out = out.select(*ids, "sent_no", F.explode_outer(F.array("_q")).alias("_q")).filter("_q is not null")
+    return out.select(*ids, "sent_no", "_q.*")

@@ -141,11 +141,10 @@ def _test(test: str, c) -> Column:
 
 def ancestors(tokens: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(doc_id, i, a): every token and each token above it, up to `depth` steps."""
-    up = tokens.select("doc_id", "i", F.col("head").alias("a")).filter("i <> a")
-    step = up.select("doc_id", F.col("i").alias("m"), F.col("a").alias("next"))
-    out = level = up
+    out = level = tokens.select("doc_id", "i", F.col("head").alias("a")).filter("i <> a")
+    step = tokens.select(F.col("doc_id").alias("d2"), F.col("i").alias("m"), F.col("head").alias("above")).filter("m <> above")
     for _ in range(depth - 1):
-        level = level.join(step, (level.doc_id == step.doc_id) & (level.a == step.m)).select(level.doc_id, level.i, F.col("next").alias("a"))
+        level = level.join(step, (F.col("doc_id") == F.col("d2")) & (F.col("a") == F.col("m"))).select("doc_id", "i", F.col("above").alias("a"))
         out = out.unionByName(level)
     return out.distinct()
 

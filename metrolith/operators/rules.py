@@ -1,12 +1,16 @@
-"""Dependency rules over supplied parses: each rule is a small tree pattern, compiled to self-joins.
+"""Dependency rules over supplied parses: each rule is a small tree pattern over the tokens of a text.
 
-Input is a token table (doc_id, i, text, lemma, pos, dep, head), head being the index of a token's governor
-(its own for a root).  A rule names its tokens, constrains their attributes, and relates each to an earlier
-one.  Relations: `>` governs, `<` is governed by, `>>` and `<<` the same over any depth, `.` stands directly
-before, `;` directly after, `$+` is the next sibling to the right.  All relations are equi-joins on document
-and index or head; the depth ones join a table of ancestors built by bounded rounds.
+Input is a token table (doc_id, i, text, lemma, pos, dep, head); i counts a document's tokens from 0 and head
+is the index of a token's governor (its own for a root).  A rule names its tokens, constrains their
+attributes, and relates each to an earlier one.  Relations: `>` the new token is governed by the earlier,
+`<` it governs it, `>>` and `<<` the same over any depth, `.` it stands directly behind, `;` directly before,
+`$+` it is the next sibling to the right.
 
-Matches are rows (doc_id, rule, priority, toks); earlier families take precedence.
+Tokens are gathered once into a row for each document (a sentence or a few), one exchange on doc_id; all
+rules are then self-joins of that array within the row, so the number of rules adds no shuffle.
+
+Matches are rows (doc_id, family, rule, priority, toks); earlier families take precedence.  A document
+without tokens, or with none that fit, gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrolith.functions.lexicon import BROAD, FRACTIONS, NUMBER_WORDS, SCALES
+from metrolith.functions.lexicon import BROAD, FRACTIONS, NUMBER_WORDS, SCALES, pattern
 
 MAX_DEPTH = 8
 
@@ -122,86 +126,105 @@ FAMILIES = tuple(dict.fromkeys(r.family for r in REGISTERED))
 _NUMBERS = tuple({*NUMBER_WORDS, *SCALES, *FRACTIONS, *BROAD})
 
 
-def _test(test: str, c) -> Column:
-    low = F.lower(c("text"))
-    if test == "digit":
-        return c("text").rlike("^[0-9]+$")
-    if test == "notdigit":
-        return ~c("text").rlike("^[0-9]+$")
+def _test(test: str, t: Column) -> Column:
+    if test in ("digit", "notdigit"):
+        return t["digit"] if test == "digit" else ~t["digit"]
     if test in ("scale", "notscale"):
-        is_scale = low.isin(*SCALES) | low.isin(*BROAD)
-        return is_scale if test == "scale" else ~is_scale
+        return t["scale"] if test == "scale" else ~t["scale"]
     if test == "number":
-        return low.isin(*_NUMBERS) | c("text").rlike("^[0-9][0-9.,]*$")
+        return t["like_number"]
     key, negated, values = re.fullmatch(r"([pdt])(!?)=(.*)", test).groups()
-    column = {"p": c("pos"), "d": c("dep"), "t": c("text")}[key]
-    found = F.coalesce(column, F.lit("")).isin(*values.split(","))
+    found = t[{"p": "pos", "d": "dep", "t": "text"}[key]].isin(*values.split(","))
     return ~found if negated else found
 
 
-def ancestors(tokens: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(doc_id, i, a): every token and each token above it, up to `depth` steps."""
-    out = level = tokens.select("doc_id", "i", F.col("head").alias("a")).filter("i <> a")
-    step = tokens.select(F.col("doc_id").alias("d2"), F.col("i").alias("m"), F.col("head").alias("above")).filter("m <> above")
-    for _ in range(depth - 1):
-        level = level.join(step, (F.col("doc_id") == F.col("d2")) & (F.col("a") == F.col("m"))).select("doc_id", "i", F.col("above").alias("a"))
-        out = out.unionByName(level)
-    return out.distinct()
+def _name(tests: tuple[str, ...]) -> str:
+    return "fits " + ";".join(tests)
+
+
+def gathered(tokens: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A row per document: heads, left siblings, ancestors, and for each set of tests the tokens that pass it."""
+    low = F.lower("text")
+    token = F.struct(
+        "i", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("pos", F.lit("")).alias("pos"), F.coalesce("dep", F.lit("")).alias("dep"), "head",
+        F.coalesce(F.col("text").rlike("^[0-9]+$"), F.lit(False)).alias("digit"), F.coalesce(low.rlike(pattern([*SCALES, *BROAD])), F.lit(False)).alias("scale"),
+        F.coalesce(low.rlike(pattern(_NUMBERS)) | F.col("text").rlike("^[0-9][0-9.,]*$"), F.lit(False)).alias("like_number"),
+    )
+    rows = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("toks"))
+    heads = F.transform("toks", lambda t: t["head"])
+    rows = rows.select("doc_id", "toks", heads.alias("heads"), F.sequence(F.lit(0), F.size("toks") - 1).alias("all"))
+
+    def left_of(i: Column) -> Column:
+        head = F.get("heads", i)
+        return F.array_max(F.filter("all", lambda j: (j < i) & (F.get("heads", j) == head) & (j != head) & (i != head)))
+
+    def above(i: Column) -> Column:
+        start = F.struct(i.alias("at"), F.array().cast("array<int>").alias("seen"))
+
+        def step(acc: Column, _: Column) -> Column:
+            up = F.get("heads", acc["at"])
+            new = up.isNotNull() & (up != acc["at"]) & ~F.array_contains(acc["seen"], up)
+            return F.struct(F.when(new, up).otherwise(acc["at"]).alias("at"), F.when(new, F.array_append(acc["seen"], up)).otherwise(acc["seen"]).alias("seen"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start, step, lambda acc: acc["seen"])
+
+    def passing(tests: tuple[str, ...]) -> Column:
+        def all_of(i: Column) -> Column:
+            ok = F.lit(True)
+            for test in tests:
+                ok = ok & _test(test, F.get("toks", i))
+            return ok
+
+        return F.filter("all", all_of)
 
+    sets = dict.fromkeys(node.tests for rule in rules for node in rule.nodes)
+    return rows.select("doc_id", "heads", F.transform("all", left_of).alias("left"), F.transform("all", above).alias("above"), *[passing(t).alias(_name(t)) for t in sets])
 
-def _node(tokens: DataFrame, node: Node) -> DataFrame:
-    kept = tokens
-    for test in node.tests:
-        kept = kept.filter(_test(test, F.col))
-    return kept.select(*[F.col(c).alias(f"{node.name}_{c}") for c in ("doc_id", "i", "head", "left_sibling")])
 
+def _matched(rule: Rule) -> Column:
+    """The matches of a rule in a gathered row: arrays of token indices in the rule's order."""
+    places = {node.name: k for k, node in enumerate(rule.nodes)}
 
-def match(tokens: DataFrame, rule: Rule, up: DataFrame | None = None) -> DataFrame:
-    """(doc_id, rule, toks): the matched token indices in the rule's order."""
-    out = _node(tokens, rule.nodes[0])
-    first = rule.nodes[0].name
+    def column(node: Node) -> Column:
+        return F.col(f"`{_name(node.tests)}`")
+
+    def grown(partial: Column, node: Node) -> Column:
+        def related(t: Column, m: Column) -> Column:
+            return {
+                ">": lambda: F.get("heads", t) == m,
+                "<": lambda: F.get("heads", m) == t,
+                ">>": lambda: F.array_contains(F.get("above", t), m),
+                "<<": lambda: F.array_contains(F.get("above", m), t),
+                ".": lambda: t == m + 1,
+                ";": lambda: t == m - 1,
+                "$+": lambda: F.coalesce(F.get("left", t) == m, F.lit(False)),
+            }[node.relation]()
+
+        def extended(match: Column) -> Column:
+            m = F.get(match, F.lit(places[node.to]))
+            fits = F.filter(column(node), lambda t: related(t, m) & ~F.array_contains(match, t))
+            return F.transform(fits, lambda t: F.array_append(match, t))
+
+        return F.flatten(F.transform(partial, extended))
+
+    out = F.transform(column(rule.nodes[0]), lambda t: F.array(t))
     for node in rule.nodes[1:]:
-        new, to = _node(tokens, node), node.to
-        n, t = (lambda c, k=node.name: F.col(f"{k}_{c}")), (lambda c, k=to: F.col(f"{k}_{c}"))
-        same = F.col(f"{first}_doc_id") == n("doc_id")
-        if node.relation in (">>", "<<"):
-            over = up.select(F.col("doc_id").alias("u_doc"), F.col("i").alias("u_low"), F.col("a").alias("u_high"))
-            low, high = ("u_high", "u_low") if node.relation == ">>" else ("u_low", "u_high")
-            out = out.join(over, (F.col(f"{first}_doc_id") == F.col("u_doc")) & (t("i") == F.col(low)))
-            out = out.join(new, same & (n("i") == F.col(high))).drop("u_doc", "u_low", "u_high")
-        else:
-            on = {
-                ">": (n("head") == t("i")) & (n("i") != t("i")),
-                "<": (t("head") == n("i")) & (n("i") != t("i")),
-                ".": n("i") == t("i") + 1,
-                ";": n("i") == t("i") - 1,
-                "$+": n("left_sibling") == t("i"),
-            }[node.relation]
-            out = out.join(new, same & on)
-    ids = [F.col(f"{x.name}_i") for x in rule.nodes]
-    if len(ids) > 1:
-        out = out.filter(F.size(F.array_distinct(F.array(*ids))) == len(ids))
-    return out.select(F.col(f"{first}_doc_id").alias("doc_id"), F.lit(rule.name).alias("rule"), F.array(*ids).alias("toks"))
-
-
-def with_siblings(tokens: DataFrame) -> DataFrame:
-    """Adds left_sibling: the nearest token to the left with the same governor."""
-    from pyspark.sql.window import Window as W
-
-    other = F.when(F.col("i") != F.col("head"), F.col("i"))
-    return tokens.withColumn("left_sibling", F.lag(other).over(W.partitionBy("doc_id", "head").orderBy("i")))
+        out = grown(out, node)
+    return out
 
 
 def match_all(tokens: DataFrame, rules: tuple[Rule, ...] = REGISTERED) -> DataFrame:
     """(doc_id, family, rule, priority, toks) of every rule."""
-    tokens = with_siblings(tokens)
-    up = ancestors(tokens)
-    out = None
+    found = []
     for rule in rules:
         family = FAMILIES.index(rule.family) if rule.family in FAMILIES else len(FAMILIES)
-        found = match(tokens, rule, up).select("doc_id", F.lit(rule.family).alias("family"), "rule", F.lit(family).alias("priority"), "toks")
-        out = found if out is None else out.unionByName(found)
-    return out
+        found.append(_named(rule, family))
+    out = gathered(tokens, rules).select("doc_id", F.flatten(F.array(*found)).alias("found"))
+    return out.select("doc_id", F.explode_outer("found").alias("m")).filter("m is not null").select("doc_id", "m.*")
+
+
+def _named(rule: Rule, priority: int) -> Column:
+    return F.transform(_matched(rule), lambda toks: F.struct(F.lit(rule.family).alias("family"), F.lit(rule.name).alias("rule"), F.lit(priority).alias("priority"), toks.alias("toks")))
 
 
 def flags(tokens: DataFrame, matches: DataFrame) -> DataFrame:

@@ -40,9 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small file's few splits dealt over all cores: extraction computes much for each row it reads."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def found(spark: SparkSession, sf_dir: str, name: str, ids: list[str], text: str, *more: str) -> DataFrame:
     """extract() over sentences made from a table's rows."""
-    return extract(table(spark, sf_dir, name).selectExpr(*ids, f"{text} AS text", *more), "text", [*ids, *[m.rsplit(" AS ", 1)[1] for m in more]])
+    return extract(spread(table(spark, sf_dir, name)).selectExpr(*ids, f"{text} AS text", *more), "text", [*ids, *[m.rsplit(" AS ", 1)[1] for m in more]])
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -548,7 +554,7 @@ def rules_unregistered(spark, sf_dir):
 
 
 def event_quantities(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    e = events if events is not None else table(spark, sf_dir, "events")
+    e = events if events is not None else spread(table(spark, sf_dir, "events"))
     text = f"'The rate ' || {_case('event_id', ['fell ', 'rose ', 'was about '])} || CAST(event_id % 50 AS STRING) || {_case('event_id', [' percent.', ' kg.', ' percent.', ' boxes.', ' miles.'])}"
     return extract(e.selectExpr("event_id", "ts", "user_id", f"{text} AS text"), "text", ["event_id", "ts", "user_id"])
 
@@ -636,7 +642,7 @@ def json_properties(spark, sf_dir):
 @query(None)
 def documents_quantities(spark, sf_dir):
     """Everything the engine finds in the documents themselves."""
-    q = extract(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    q = extract(spread(table(spark, sf_dir, "documents")), "text", ["doc_id"])
     return q.select("doc_id", "sent_no", "ord", "change", "kind", "lower", "upper", "unit_norm")
 
 

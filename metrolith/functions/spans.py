@@ -44,7 +44,11 @@ def located(text: Column, pattern: str) -> Column:
 
 
 def _located(text: Column, pattern: str) -> Column:
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+
+
+def placed(hits: Column, gaps: Column) -> Column:
+    """(start, end, text) of matches, given the texts between them."""
     pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 

@@ -86,9 +86,9 @@ def _stopped(c: Column) -> Column:
 
 
 STEPS: list[Step] = [
-    ("P01", sub(r"(?U)(\w)(\([a-zA-Z]+)", "$1 $2")),
+    ("P01", sub(r"(?<=[\p{L}\p{N}_])(\([a-zA-Z]+)", " $1")),
     ("P02", sub(r"(?U)^(\w+)\s?—\s?", "$1 ")),
-    ("P03", sub(r"(\s+\S+)\s?—", "$1 ")),
+    ("P03", sub(r"(?<=\S)\s?—", " ")),
     ("P04", sub(r"\s{2,}", " ")),
     ("P05", literal(" | ", " ,  ")),
     ("P06", literal(" c $", " C$")),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from metrolith.functions import bounds, ignore, numbers, textnorm, tokens
 from metrolith.functions.catalog import AMBIGUOUS, CUES, FORMS, lookup
 from metrolith.functions.lexicon import BROAD, FRACTIONS, MODEL_MARKS, NAME_EXEMPT, NAME_MARKS, NUMBER_WORDS, SCALES, UNIT_BLACKLIST
-from metrolith.functions.spans import SPANS, constant_map, let, located, masked
+from metrolith.functions.spans import SPANS, constant_map, let, located, placed
 
 _BOUND = "(?:q?b[tqo]?(?:q?b[tqo]?)?q?)?"
 _VALUE = "(?:ds*|fis+|f|i?s+|w[wsd]*)"
@@ -44,7 +44,7 @@ SHAPES: dict[str, dict[str, str]] = {
 }
 _PATTERN = {name: "^" + "".join(f"({groups.get(r, '')})" for r in ROLES) + "$" for name, groups in SHAPES.items()}
 _MULTIPLE = ("dimension", "list", "shared")
-CHUNK = "|".join("(?:" + "".join(f"(?:{groups[r]})" for r in ROLES if r in groups) + ")" for groups in SHAPES.values())
+CHUNK = "(?=[bqvcmdfiwsS])(?:" + "|".join("(?:" + "".join(f"(?:{groups[r]})" for r in ROLES if r in groups) + ")" for groups in SHAPES.values()) + ")"
 
 
 def may_hold_numbers(text: Column) -> Column:
@@ -62,11 +62,11 @@ def _shape(code: Column) -> Column:
 
 
 def _lengths(shape: Column, code: Column) -> Column:
-    """Tokens in each role's group."""
-    out = F.array().cast("array<int>")
+    """Tokens in each role's group: one replacement lists the groups, with a sign that no code has between."""
+    out = F.lit("")
     for name in SHAPES:
-        out = F.when(shape == name, F.array(*[F.length(F.regexp_extract(code, _PATTERN[name], i)) for i in range(1, len(ROLES) + 1)])).otherwise(out)
-    return out
+        out = F.when(shape == name, F.regexp_replace(code, _PATTERN[name], ",".join(f"${i}" for i in range(1, len(ROLES) + 1)))).otherwise(out)
+    return F.transform(F.split(out, ",", -1), F.length)
 
 
 def _texts(toks: Column, at: Column, n: Column) -> Column:
@@ -77,13 +77,18 @@ def _text(toks: Column, at: Column) -> Column:
     return F.when(at >= 0, F.get(toks, at)["text"])
 
 
+def _sentences(text: Column) -> Column:
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"))).cast(SPANS)
+    return F.when(text.rlike(r"[.!?] +\p{Lu}"), located(text, r"(?s).+?(?:[.!?](?= +\p{Lu})|$)")).otherwise(whole)
+
+
 def tokenized(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ()) -> DataFrame:
     """(ids.., sent_no, base, words, toks, code): a row per sentence that may hold numbers; toks are
     (start, end, text) in the sentence, base is the sentence's place in the normalized text."""
     ids = [F.col(f"`{c}`") for c in id_cols]
     text = F.col(f"`{text_col}`")
     out = df.filter(may_hold_numbers(text)).select(*ids, textnorm.normalize(text).alias("_norm"))
-    out = out.select(*ids, F.posexplode_outer(located(F.col("_norm"), r"(?s).+?(?:[.!?](?= +\p{Lu})|$)")).alias("sent_no", "_sent"))
+    out = out.select(*ids, F.posexplode_outer(_sentences(F.col("_norm"))).alias("sent_no", "_sent"))
     out = out.select(*ids, "sent_no", F.col("_sent.start").alias("base"), tokens.tokens(ignore.mask(F.col("_sent.text"))).alias("toks"))
     return out.select(*ids, "sent_no", "base", "toks", tokens.classes(F.col("toks")).alias("code"))
 
@@ -94,8 +99,10 @@ def chunked(sentences: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
     without any chunk's tokens."""
     ids = [F.col(f"`{c}`") for c in id_cols]
     kept = [*ids, "sent_no", "base", "toks", "code", "plain"]
-    sentences = sentences.select(*kept[:-1], masked(F.col("code"), CHUNK, "z").alias("plain"))
-    out = sentences.select(*kept, F.explode_outer(located(F.col("code"), CHUNK)).alias("c"))
+    out = sentences.select(*kept[:-1], F.regexp_extract_all("code", F.lit(CHUNK), F.lit(0)).alias("hits"), F.split("code", CHUNK, -1).alias("gaps"))
+    plain = F.array_join(F.zip_with("gaps", "hits", lambda gap, hit: F.concat(gap, F.repeat(F.lit("z"), F.coalesce(F.length(hit), F.lit(0))))), "")
+    out = out.select(*kept[:-1], placed(F.col("hits"), F.col("gaps")).alias("spans"), plain.alias("plain"))
+    out = out.select(*kept, F.explode_outer("spans").alias("c"))
     out = out.select(*kept, F.col("c.start").alias("from"), F.col("c.end").alias("to"), F.col("c.text").alias("chunk"), _shape(F.col("c.text")).alias("shape"))
     out = out.select(*kept, "from", "to", "chunk", "shape", _lengths(F.col("shape"), F.col("chunk")).alias("n"))
     sums = F.transform("n", lambda _, i: F.col("from") + F.aggregate(F.slice("n", F.lit(1), i), F.lit(0), lambda a, b: a + b))

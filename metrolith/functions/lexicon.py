@@ -40,7 +40,7 @@ PLURAL_SCALES = {w + "s": SCALES[w] for w in ("dozen", "hundred", "thousand", "l
 BROAD = {**PLURAL_SCALES, "tens": 10.0}
 
 _NTH = {3: "third", 4: "fourth", 5: "fifth", 6: "sixth", 7: "seventh", 8: "eighth", 9: "ninth", 10: "tenth", 12: "twelfth", 16: "sixteenth", 100: "hundredth"}
-FRACTIONS: dict[str, float] = {"half": 0.5, "halve": 0.5, "quarter": 0.25, **{w: 1.0 / d for d, w in _NTH.items()}}
+FRACTIONS: dict[str, float] = {"half": 0.5, "halve": 0.5, "quarter": 0.25, "one thirty-second": 1 / 32, "a hundred twenty-eighth": 1 / 128, **{w: 1.0 / d for d, w in _NTH.items()}}
 for _d, _w in {**{d: _NTH[d] for d in (3, 5, 6, 8, 9)}, 4: "quarter"}.items():
     for _n in range(2, _d):
         if gcd(_n, _d) == 1:

@@ -6,7 +6,7 @@ each chunk; each filter's largest activation in the chunk is the chunk's value.
 are combined, by their mean and their maximum, and one logistic layer makes the probability.
 
 A filter is the product of learned byte embeddings and weights, so its activation is a sum of table look-ups
-by byte and tap.  Training is logistic loss with Adam on a bounded sample of the labelled rows, chosen by a
+by byte and tap.  Training is logistic loss with Adam, a rejected row counting REJECT_WEIGHT times, on a bounded sample of the labelled rows, chosen by a
 hash of the id (`TRAIN_ROWS`), with a fixed seed.  Scoring needs no shuffle.
 
 Defined cases: a null or empty text has no chunks and gets the score of all-zero features; repeated rows are
@@ -35,6 +35,7 @@ RATE = 0.02
 TRAIN_ROWS = 3000
 TRAIN_BYTES = 1 << 25
 THRESHOLD = 0.3
+REJECT_WEIGHT = 4.0
 
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +109,13 @@ class Network:
             features[some, FILTERS:] = np.maximum.reduceat(values, first[some], axis=0)
         return 1 / (1 + np.exp(-(features.astype(np.float64) @ self.p["out"] + self.p["bias"][0])))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> Network:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int | None = None) -> Network:
         rng = np.random.default_rng(5)
         prior = np.clip(labels.mean(), 0.01, 0.99)
         self.p["bias"][0] = np.log(prior / (1 - prior))
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         order = np.zeros(0, np.int64)
+        steps = steps or STEPS
         for step in range(1, steps + 1):
             if len(order) < BATCH:
                 order = np.concatenate([order, rng.permutation(len(texts))])
@@ -133,7 +135,7 @@ class Network:
         values, at = self.pooled(rows, self.tables(), where=True)
         features, counts, best = self.combined(values, of, n)
         score = 1 / (1 + np.exp(-(features @ p["out"] + p["bias"][0])))
-        error = ((score - labels) / n).astype(np.float32)
+        error = ((score - labels) * np.where(labels > 0, 1.0, REJECT_WEIGHT) / n).astype(np.float32)
         to_features = error[:, None] * p["out"][None, :]
         back = np.zeros_like(values)
         if len(of):

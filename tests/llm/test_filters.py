@@ -87,7 +87,7 @@ def test_quality_network_learns_and_differentiates():
     def loss():
         s = net.scores(texts[:8], net.tables())
         y = labels[:8]
-        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean() + 0.5e-4 * (net.p["out"] ** 2).sum()
+        return -(y * np.log(s) + op3.REJECT_WEIGHT * (1 - y) * np.log(1 - s)).mean() + 0.5e-4 * (net.p["out"] ** 2).sum()
 
     grads = net.gradients(texts[:8], labels[:8])
     for name, at in (("out", 3), ("bias", 0), ("shift", 2)):

@@ -109,10 +109,10 @@ def _composed(parts: Column) -> Column:
 def number(words: Column) -> Column:
     """struct(lower, upper) of lower-cased number words; null if they are no number.
 
-    `a` is skipped; a leading fraction word before other words is its decimal value; two numbers side by
+    `a` and `and` are skipped; a leading fraction word before other words is its decimal value; two numbers side by
     side are a range; `m` after a number is million.
     """
-    return let(F.transform(F.filter(words, lambda w: w != "a"), _described), _number)
+    return let(F.transform(F.filter(words, lambda w: ~w.isin("a", "and")), _described), _number)
 
 
 def composed(words: Column) -> Column:

@@ -85,6 +85,7 @@ def _stopped(c: Column) -> Column:
     )
 
 
+# The patterns of the steps, in the order in which they apply.
 STEPS: list[Step] = [
     ("P01", sub(r"(?<=[\p{L}\p{N}_])(\([a-zA-Z]+)", " $1")),
     ("P02", sub(r"(?U)^(\w+)\s?—\s?", "$1 ")),
@@ -107,7 +108,7 @@ STEPS: list[Step] = [
     ("P19a", sub(r"(?<=\d),(?=[\d,]*(?:\.\d+)?(?!E[+−\d]|e[+−\d])[a-zA-Z]{1,3}[.,]?(?![\d]))", "")),
     ("P19b", sub(rf"(?<![A-Z\d,.])({NUM})(?!E[+−\d]|e[+−\d])([a-zA-Z]{{1,3}})\.", "$1 $2 .")),
     ("P19c", sub(rf"(?<![A-Z\d,.])({NUM})(?!E[+−\d]|e[+−\d])([a-zA-Z]{{1,3}})", "$1 $2")),
-    ("P20", sub(rf"(?i)({CODES})\s?({NUM})\s?m(?![a-z\d])[., \n]?", "$1 $2 M")),
+    ("P20", sub(rf"(?i)({CODES})\s?({NUM})\s?m(?![a-z\d])(?:[.,](?=\s|$))?", "$1 $2 M")),
     ("P21", sub(rf"\bPS({NUM})", "£$1")),
     ("P22", sub(rf"([$|€£]\s?{NUM}\s?)m(?![a-z\d])([., \n]?)", "$1M$2")),
     ("P23", sub(rf"\b(RM)\s?({NUM})(?:million|mil|m|M)+\b", "$2 M $1")),

@@ -30,6 +30,7 @@ TOKEN = "|".join(
         r"\b(?:USD|AUD|US|CA|HK|AU|GB|C|A|S)\$|\bUS \$|[$€£¥₡₫₵₥₿¢₾₹円圓₭₩]",
         r"[<>]\s?=|~\s?=|[<>~≈=]",
         r"[A-Za-zμµ]{1,3}[23²³]\b",
+        r"\p{L}+[0-9]+[\p{L}0-9]*",
         r"\p{L}+(?:['’]\p{L}+)*",
         r"\S",
     ]
@@ -90,11 +91,15 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?]) +(?=\p{Lu})", -1)
 
 
+_IRREGULAR = {"men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose", "pence": "penny", "lives": "life", "wives": "wife", "knives": "knife", "halves": "half", "leaves": "leaf"}
+
+
 def singular(word: Column) -> Column:
     """A plain lemma of a noun; words in capitals stay."""
     low = F.lower(word)
     stem = (
-        F.when(low.rlike("(?:ss|us|is)$") | (F.length(low) < 4), low)
+        F.when(low.rlike(pattern(_IRREGULAR)), constant_lookup(_IRREGULAR, "string", low))
+        .when(low.rlike("(?:ss|us|is)$") | (F.length(low) < 4), low)
         .when(low.rlike("[^aeiou]ies$"), F.regexp_replace(low, "ies$", "y"))
         .when(low.rlike("(?:ch|sh|x|ss)es$"), F.regexp_replace(low, "es$", ""))
         .when(low.rlike("s$"), F.regexp_replace(low, "s$", ""))

@@ -22,7 +22,7 @@ from metrolith.functions.lexicon import BROAD, FRACTIONS, MODEL_MARKS, NAME_EXEM
 from metrolith.functions.spans import SPANS, constant_map, let, located, placed
 
 _BOUND = "(?:q?b[tqo]?(?:q?b[tqo]?)?q?)?"
-_VALUE = "(?:ds*|fis+|f|i?s+|w[wsd]*)"
+_VALUE = "(?:ds*|fis+|f|i?s+|w[ws]*sAw(?![wsd])|w[wsd]*)"
 _UNIT = "(?:h?nu|h?Nu|h?u|c|h?[nN])"
 _PER = "(?:P(?:nu|u|n|N)|iu)"
 

@@ -298,7 +298,7 @@ def ambiguous_unit_rank(spark, sf_dir):
     return api.disambiguate(mentions, "form", "text").select("c_custkey", "form", "reading", "score")
 
 
-@query("SELECT 'mile per hour' AS unit_norm, 'mile per hour' AS unit_key, 1 AS n WHERE false UNION ALL SELECT * FROM (VALUES ('dollar per barrel', 'dollar', 5), ('dollar per barrel', 'barrel', 3), ('litre', 'litre', 6)) AS v(unit_norm, unit_key, n)")
+@query(sql_values([("dollar per barrel", "dollar", 5), ("dollar per barrel", "barrel", 3), ("litre", "litre", 6)], "unit_norm, unit_key, n"))
 def unit_surface_forms(spark, sf_dir):
     q = rendering.surface_forms(values(spark, [("dollar per barrel",), ("litre",)], "unit_norm string"))
     return q.select("unit_norm", "unit_key", F.size(F.array_distinct("forms")).alias("n"))
@@ -496,9 +496,13 @@ _SENTENCES = [
     ("e04", "thousands of parts", "(=,1000-10000,part,[])"), ("e05", "one out of four orders", "(=,0.25,% order,[])"), ("e06", "40, 50, 60 years", "(=,40,year,[]) (=,50,year,[]) (=,60,year,[])"), ("e07", "2 x 3 x 4 cm", "(=,2,centimetre,[]) (=,3,centimetre,[]) (=,4,centimetre,[])"),
     ("e08", "8 or $9", "(=,8,dollar,[]) (=,9,dollar,[])"), ("e09", "$20 per square foot", "(=,20,dollar per square foot,[])"), ("e10", "300 barrels a day", "(=,300,barrel per day,[])"), ("e14", "an increase of 5 percent", "(up,5,percentage,[increase])"),
     ("e15a", "it weighs 20 pounds", "(=,20,pound-mass,[])"), ("e15b", "it costs 20 pounds", "(=,20,pound sterling,[])"), ("e16", "0 items", "(=,0,item,[])"),
+    ("e18", "They need < 5 kg", "(<,5,kilogram,[])"), ("e19", "It holds ~3 litres", "(~,3,litre,[])"), ("e20", "The trip is >= 7 miles", "(>=,7,mile,[trip])"), ("e21", "He ran to the 40 yard line", "(=,40,yard,[])"),
+    ("e23", "It is 5 am", "(=,5,-,[])"), ("e24", "The price (9 dollars) fell 3%", "(=,9,dollar,[price]) (down,3,percentage,[price])"), ("e25", "Sales grew by $5m a year", "(up,5000000,dollar per year,[Sales])"),
+    ("e26", "It weighs two hundred and five pounds", "(=,205,pound-mass,[])"), ("e27", "half of the 30 men", "(=,0.5,-,[]) (=,30,man,[])"), ("e28", "It is 12-cent-a-share", "(=,12,cent,[])"), ("e29", "USD 10m in fees", "(=,10000000,united states dollar,[])"),
+    ("e30", "sub-500 sqm flats", "(<,500,square metre,[])"), ("e31", "about three-quarters of a mile", "(~,0.75,-,[mile])"), ("e32", "6.022E20 units", "(=,6.022E20,unit,[])"),
     ("e17", "The September crude contract was up 19 cents at US $58.24 per barrel", "(up,19,cent,[September, crude, contract]) (=,58.24,united states dollar per barrel,[September, crude, contract])"),
 ]
-_SILENT = [("e11", "phone 11 is new"), ("e12", "call +49 (1234) 567890"), ("e13", "at 15:06:40 on 2019-09-05"), ("s1", ""), ("s2", None), ("s3", "no numbers here")]
+_SILENT = [("e22", "The bag needs 9 AB8 now"), ("e11", "phone 11 is new"), ("e12", "call +49 (1234) 567890"), ("e13", "at 15:06:40 on 2019-09-05"), ("s1", ""), ("s2", None), ("s3", "no numbers here")]
 
 
 @query(sql_values([(i, r) for i, _, r in _SENTENCES], "case_id, result"))
@@ -543,7 +547,7 @@ def rule_flags(spark, sf_dir):
     return rules.flags(p, rules.match_all(p)).select("doc_id", "i", "number", "bound", "unit")
 
 
-@query(None)
+@query("SELECT rule, count(*) AS n FROM orders, (" + sql_values(_RULE_HITS, "rule, toks") + ") GROUP BY rule")
 def rules_unregistered(spark, sf_dir):
     return rules.match_all(parses(spark, sf_dir), rules.RULES).groupBy("rule").agg(F.count("*").alias("n"))
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from metrolith.llm.common import Staged, read
 
 WINDOW = 2
+BROADCAST_LINES = 1_000_000  # line numbers, at least one a row: at most about 60 MB
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -70,7 +71,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     first = staged.put(first)
     later = alive.join(first, ["k1", "k2"]).filter(~F.col("first").eqNullSafe(place))
     gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i") + 1, F.col("i") + F.col("w"))))).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "gone")
+    gone = staged.put(gone.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "gone"))
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)  # then the texts need not move
 
     out = docs.select("doc_id", "th", "text", "carried").join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     out = out.withColumn("lines", lines).withColumn("n_lines", F.size("lines").cast("bigint"))

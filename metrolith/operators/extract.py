@@ -271,7 +271,11 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
     keys = F.filter(F.array("left_key", "right_key"), lambda k: k.isNotNull())
     surface = F.filter(F.flatten(F.array(F.when(F.col("c_word").isNotNull(), F.array("c_word")).otherwise(F.col("u_words")), F.when(F.size("p_words") > 0, F.concat(F.array(_text(toks, F.col("at_p"))), F.col("p_words"))).otherwise(F.array().cast("array<string>")))), lambda w: w.isNotNull())
     concepts = F.when(shape == "one_of", F.array().cast("array<string>")).otherwise(_concepts(toks, code, F.col("plain"), F.col("from"), F.col("to"), F.col("at_b"), F.col("n_b")))
-    quantity = F.struct(
+    # The condition alone goes through the explode, so that columns nobody selects are never computed.
+    rows = rows.select("*", F.explode_outer(F.when(kept, F.array(F.lit(True)))).alias("_kept")).filter("_kept")
+    return rows.select(
+        *ids,
+        "sent_no",
         (F.col("base") + F.get(toks, F.col("a_at"))["start"]).alias("ord"),
         F.col("change"),
         F.when(ranged | shape.isin("between", "range", "broad"), "range").otherwise("value").alias("kind"),
@@ -290,6 +294,3 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
         F.when(~ranged, numbers.short_notation(F.col("lower"))).otherwise(F.concat_ws("-", numbers.short_notation(F.col("lower")), numbers.short_notation(F.col("upper")))).alias("sci_short"),
         (shape == "one_of").alias("one_of"),
     )
-    out = rows.select(*ids, "sent_no", F.when(kept, quantity).alias("_q"))
-    out = out.select(*ids, "sent_no", F.explode_outer(F.array("_q")).alias("_q")).filter("_q is not null")
-    return out.select(*ids, "sent_no", "_q.*")

@@ -23,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import Staged, read
+from metrolith.llm.common import Staged, checked, read
 
 WINDOW = 2
+BROADCAST_PLACES = 500_000  # rows of six numbers: at most about 50 MB
 BROADCAST_LINES = 1_000_000  # line numbers, at least one a row: at most about 60 MB
 
 
@@ -64,11 +65,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     windows = staged.put(_windows(docs, window))
 
     shared = windows.filter("new").groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print")
-    shared = staged.put(shared)  # tables, so that adaptive execution may split the joins where a line is hot
+    # Tables: broadcast if a count shows that they are small; else adaptive execution may split their joins
+    # where a line is hot.
+    shared = checked(staged.put(shared))
     alive = windows.join(shared, "print", "left_semi").select("doc_id", "th", "i", "w", "k1", "k2")
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "th", "i")
     first = alive.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").select("k1", "k2", "first")
-    first = staged.put(first)
+    first = checked(staged.put(first), BROADCAST_PLACES)
     later = alive.join(first, ["k1", "k2"]).filter(~F.col("first").eqNullSafe(place))
     gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i") + 1, F.col("i") + F.col("w"))))).alias("gone"))
     gone = staged.put(gone.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "gone"))

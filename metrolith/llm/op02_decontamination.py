@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import Rolling, Staged, blocks, narrow, raw, read
+from metrolith.llm.common import Rolling, Staged, blocks, narrow, raw, read, tidied
 
 WINDOW = 10
 GAP = 128
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             )
             number += 1
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(segments, INDEX_SCHEMA)
+    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(segments), INDEX_SCHEMA)
 
 
 class Segment:
@@ -200,7 +200,7 @@ def matches(spark: SparkSession, index: DataFrame, items: DataFrame, id_col: str
                                 names=["doc_id", "item_id", "kind", "first_word", "n_words"],
                             )
 
-        part = index.mapInArrow(search, MATCH_SCHEMA)
+        part = index.mapInArrow(tidied(search), MATCH_SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], MATCH_SCHEMA)
 
@@ -253,7 +253,7 @@ def _found(index: DataFrame, sent) -> DataFrame:
                     names=["segment", "place", "doc_id", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(search, HIT_SCHEMA)
+    return index.mapInArrow(tidied(search), HIT_SCHEMA)
 
 
 def decontaminate(spark: SparkSession, index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -284,7 +284,7 @@ def decontaminate(spark: SparkSession, index: DataFrame, items: DataFrame, id_co
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return hits.select("doc_id", "n_words", "spans", "items").mapInArrow(summed, RESULT_SCHEMA + ", spans array<int>")
+    return hits.select("doc_id", "n_words", "spans", "items").mapInArrow(tidied(summed), RESULT_SCHEMA + ", spans array<int>")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

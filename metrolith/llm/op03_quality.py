@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import narrow, read
+from metrolith.llm.common import narrow, read, tidied
 
 CHUNK = 256
 WIDTH = 5
@@ -194,7 +194,7 @@ def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text
                 out.append(network.scores(texts, tables) if network else np.full(len(texts), 0.5))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, score double")
+    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(run), "doc_id bigint, score double")
 
 
 def accepted(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -210,7 +210,7 @@ def accepted(docs: DataFrame, network: Network | None, text_col: str = "text", t
                 keep = network.scores(texts, tables) >= threshold if network else np.ones(len(texts), bool)
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import Staged, narrow, read
+from metrolith.llm.common import Staged, narrow, read, tidied
 
 RADIUS = 2
 SHINGLE = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _steps(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -173,8 +173,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = 4) -> DataFrame:
         if left:
             yield out()
 
-    dealt = nodes.select("fp").mapInArrow(deal, "tile bigint, visits boolean, fp bigint")
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a bigint, b bigint")
+    dealt = nodes.select("fp").mapInArrow(tidied(deal), "tile bigint, visits boolean, fp bigint")
+    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidied(compare), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, staged: Staged) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import Rolling, Staged, blocks, narrow, raw, read
+from metrolith.llm.common import Rolling, Staged, blocks, narrow, raw, read, tidied
 
 LENGTH = 200
 ANCHOR = 48
@@ -207,7 +207,7 @@ def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                 names=["anchor", "ctx", "doc_id", "th", "s0", "n"],
             )
 
-    return docs.mapInArrow(run, ANCHOR_SCHEMA)
+    return docs.mapInArrow(tidied(run), ANCHOR_SCHEMA)
 
 
 def _passed(docs: DataFrame, length: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _passed(docs: DataFrame, length: int) -> DataFrame:
                         rows.append((doc_id, None, None, None, None, th, None, None, f["anchor"], s0, f["n"], not f["settled"], data[s0 : s0 + f["n"] - 1 + length]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
 
-    return docs.mapInArrow(run, PASS_SCHEMA)
+    return docs.mapInArrow(tidied(run), PASS_SCHEMA)
 
 
 def _indexed(found: DataFrame, length: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _indexed(found: DataFrame, length: int) -> DataFrame:
             yield out()
 
     columns = ["anchor", "doc_id", "th", "s0", "n", "single", "bytes"]
-    return found.select(*columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id bigint, th int, spans array<int>")
+    return found.select(*columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidied(run), "doc_id bigint, th int, spans array<int>")
 
 
 def _counted(found: DataFrame, length: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _counted(found: DataFrame, length: int) -> DataFrame:
                 a, b = (h.ranges(h.prefix(data), at, at + length).view(np.int64) for h in (_HASH, other))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([row["doc_id"]] * row["n"], pa.int64()), pa.array([row["th"]] * row["n"], pa.int32()), pa.array((row["s0"] + at).astype(np.int32)), pa.array([row["single"]] * row["n"])], names=["h1", "h2", "doc_id", "th", "s", "single"])
 
-    windows = found.select("doc_id", "th", "s0", "n", "single", "bytes").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, th int, s int, single boolean")
+    windows = found.select("doc_id", "th", "s0", "n", "single", "bytes").mapInArrow(tidied(run), "h1 bigint, h2 bigint, doc_id bigint, th int, s int, single boolean")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
     hit = windows.filter("single").join(twice, ["h1", "h2"], "left_semi")
     return hit.select("doc_id", "th", F.array("s", F.col("s") + length).alias("spans"))
@@ -314,7 +314,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     ready = passed.filter("n_bytes is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return ready.unionByName(waiting.mapInArrow(finish, RESULT_SCHEMA))
+    return ready.unionByName(waiting.mapInArrow(tidied(finish), RESULT_SCHEMA))
 
 
 def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm.common import Rolling, narrow, read
+from metrolith.llm.common import Rolling, narrow, read, tidied
 
 K = 20
 WINDOW = 81
@@ -102,7 +102,7 @@ def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([written(*winnow(t.as_py() or "")) for t in batch.column(1)], pa.string())], names=["doc_id", "fingerprint"])
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, fingerprint string")
+    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(run), "doc_id bigint, fingerprint string")
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
@@ -165,7 +165,7 @@ def compared(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str
         if out:
             yield flushed()
 
-    return with_next(narrow(docs, doc_id=id_col, text=text_col), ranges).mapInArrow(run, RESULT_SCHEMA)
+    return with_next(narrow(docs, doc_id=id_col, text=text_col), ranges).mapInArrow(tidied(run), RESULT_SCHEMA)
 
 
 def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

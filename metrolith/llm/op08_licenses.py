@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from metrolith.llm.common import blocks, mixed, narrow, raw, read
+from metrolith.llm.common import blocks, mixed, narrow, raw, read, tidied
 from metrolith.llm.op02_decontamination import words_of
 
 LIMIT = 0.8
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             out = [known.best(words[a:b], line[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([round(o[2], 6) for o in out], pa.float64())], names=["doc_id", "n_segments", "license", "dice"])
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, RESULT_SCHEMA)
+    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(run), RESULT_SCHEMA)
 
 
 def lined(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from metrolith.llm.common import narrow, read
+from metrolith.llm.common import narrow, read, tidied
 
 CAPACITY = 4096
 CLASSES = 16
 SLACK = 0.01
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-WORDS_HELD = 600_000
+WORDS_HELD = 200_000
 
 RESULT_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         if bins.closed:
             yield rows()
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, RESULT_SCHEMA)
+    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(run), RESULT_SCHEMA)
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from metrolith.llm.common import blocks, mixed, narrow, raw, read, tidied
-from metrolith.llm.op02_decontamination import words_of
+from metrolith.llm.op02_decontamination import _LOWER, _WORD, words_of
 
 LIMIT = 0.8
 RESULT_SCHEMA = "doc_id bigint, n_segments bigint, license string, dice double"
@@ -107,8 +107,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 def lined(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words_of, and each word's line number over the whole block."""
-    from metrolith.llm.op02_decontamination import _LOWER, _WORD
-
     words, first = words_of(text)
     data, offsets = raw(text)
     inside = _WORD[_LOWER[data]]

@@ -6,7 +6,9 @@ Fingerprints that stand at one position only are dropped by a count.  The others
 each is extended over the windows that chose it, to both sides: a window's lines as a whole, by two 64-bit
 hashes, meet their first place in the corpus.  Consecutive extended windows add up to the longest common
 run.  A line goes if a window over it also stands earlier: in a smaller doc_id, or earlier in its own
-document.
+document.  A line of more than `long_words` words (runs of characters that are no white space) is a window
+by itself too, whatever stands beside it, and meets one-line documents; the registered query goes without
+that, as its SQL does.
 
 Every exchange before the texts' own carries hashes and positions only.  Counts and first places are sums
 and minima with map-side combination, and the joins back are on one row for each key, which adaptive
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 from metrolith.llm.common import Staged, checked, read
 
 WINDOW = 2
+LONG_WORDS = 50
 BROADCAST_PLACES = 500_000  # rows of six numbers: at most about 50 MB
 BROADCAST_LINES = 1_000_000  # line numbers, at least one a row: at most about 60 MB
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """A row per window: its place, its fingerprint line's hash, whether that position is new, and its own hashes."""
+def _windows(docs: DataFrame, window: int, long_words: int | None) -> DataFrame:
+    """A row per window: its place, its fingerprint line's hash, whether that position is new, and its own hashes.
+    A window of one line is its own fingerprint."""
     w = F.least(F.lit(window), F.size("lines"))
     hashes = F.transform("lines", lambda x: F.xxhash64(x))
 
@@ -45,16 +49,26 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     def place(pick: Column, i: Column) -> Column:
         whole = F.slice("lines", i + 1, F.col("w"))
         new = F.when(i == 0, True).otherwise(pick["back"] != F.get("picks", i - 1).getField("back"))
-        return F.struct(i.alias("i"), pick["h"].alias("print"), new.alias("new"), F.xxhash64(F.lit(1), "w", whole).alias("k1"), F.xxhash64(F.lit(2), "w", whole).alias("k2"))
+        k1 = F.xxhash64(F.lit(1), "w", whole)
+        return F.struct(i.alias("i"), F.col("w").alias("w"), F.when(F.col("w") == 1, k1).otherwise(pick["h"]).alias("print"), new.alias("new"), k1.alias("k1"), F.xxhash64(F.lit(2), "w", whole).alias("k2"))
+
+    def long(line: Column, i: Column) -> Column:
+        """A long line as a window of one, hashed as place() hashes such."""
+        k1, k2 = (F.xxhash64(F.lit(n), F.lit(1), F.array(line)) for n in (1, 2))
+        many = (F.length(line) > 2 * long_words) & (F.regexp_count(line, F.lit(r"\S+")) > long_words)
+        return F.when(many, F.struct(i.alias("i"), F.lit(1).alias("w"), k1.alias("print"), F.lit(True).alias("new"), k1.alias("k1"), k2.alias("k2")))
 
     # Windows are made within the row, so that exploding copies no lines.
-    docs = docs.select("doc_id", "th", "w", F.explode(F.transform("picks", place)).alias("p"))
-    return docs.select("doc_id", "th", "p.i", "w", "p.print", "p.new", "p.k1", "p.k2")
+    places = F.transform("picks", place)
+    if long_words is not None:
+        longs = F.filter(F.transform("lines", long), lambda p: p.isNotNull())
+        places = F.when(F.col("w") == 1, places).otherwise(F.concat(places, longs))
+    return docs.select("doc_id", "th", F.explode(places).alias("p")).select("doc_id", "th", "p.i", "p.w", "p.print", "p.new", "p.k1", "p.k2")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), long_words: int | None = LONG_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept), a row per document row; `kept` is the text that stays. The columns
-    named in `carry` follow, in a struct `carried`."""
+    named in `carry` follow, in a struct `carried`. With `long_words` None no line is a window by its length."""
     staged = Staged(spark, "op1")
     text = F.coalesce("text", F.lit(""))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).alias("none"))
@@ -62,7 +76,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), "carried")
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
     docs = docs.withColumn("lines", lines)
-    windows = staged.put(_windows(docs, window))
+    windows = staged.put(_windows(docs, window, long_words))
 
     shared = windows.filter("new").groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print")
     # Tables: broadcast if a count shows that they are small; else adaptive execution may split their joins
@@ -86,7 +100,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark, read(spark, sf_dir, "documents"))
+    out = dedup_lines(spark, read(spark, sf_dir, "documents"), long_words=None)  # as ORACLE has it
     return out.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -58,6 +58,27 @@ def test_line_dedup_repeated_rows_and_empty(spark):
     assert op1.dedup_lines(spark, frame(spark, [])).count() == 0
 
 
+def test_long_single_lines(spark):
+    rnd = random.Random(6)
+    line = lambda n: " ".join(rnd.choice("abcdé") * rnd.randint(1, 4) for _ in range(n))
+    pool = [line(n) for n in (5, 50, 51, 51, 80, 300)]
+    rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.4 else line(rnd.choice((3, 60))) for _ in range(rnd.randint(1, 5)))) for i in range(60)]
+    rows += [(80, pool[4]), (81, line(4) + "\n" + pool[4]), (82, pool[1] + "\n" + line(4)), (None, pool[5] + "\n" + line(4)), (83, None), (84, "a " * 60 + "\n" + "a " * 60)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, gone = set(), {}
+    for doc_id, text in order:
+        lines = text.split("\n") if text else []
+        keys = [(tuple(lines[i : i + w]), range(i, i + w)) for w in {min(2, len(lines))} if w for i in range(len(lines) - w + 1)]
+        keys += [((x,), range(i, i + 1)) for i, x in enumerate(lines) if len(lines) > 1 and len(x.split()) > 50]
+        for key, at in keys:
+            if key in seen:
+                gone.setdefault(doc_id, set()).update(at)
+            seen.add(key)
+    expected = {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone.get(d, ())) for d, t in rows}
+    assert {r.doc_id: r.kept for r in op1.dedup_lines(spark, frame(spark, rows)).collect()} == expected
+    assert expected[80] == "" and pool[4] not in expected[81] and pool[1] in expected[82] and pool[5] in expected[None]
+
+
 def brute_fingerprint(text):
     words = [w for w in (text or "").encode().lower().replace(b"\x0b", b" ").replace(b"\x0c", b" ").split()]
     if not words:

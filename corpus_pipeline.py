@@ -64,9 +64,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in which no window of a benchmark item occurs."""
     staged = Staged(spark, "leaks")
     index = staged.put(build_index(docs))
-    hits = decontaminate(spark, index, read(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    hits = staged.put(hits.select(F.col("doc_id").alias("id2")))
-    return docs.join(checked(hits), F.col("doc_id").eqNullSafe(F.col("id2")), "left_anti").select(*COLUMNS)
+    hits = decontaminate(spark, index, read(spark, sf_dir, "benchmark"), keyed=True).filter("contaminated")
+    return without(docs, staged.put(hits.select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("th2")).distinct()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

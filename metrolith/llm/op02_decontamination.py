@@ -35,8 +35,8 @@ GAP = 128
 SEGMENT_BYTES = 1 << 20
 BLOCK_WORDS = 200_000
 
-INDEX_SCHEMA = "segment bigint, doc_ids array<bigint>, n_words array<int>, terms binary, heads binary, gaps binary"
-HIT_SCHEMA = "segment bigint, place bigint, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
+INDEX_SCHEMA = "segment bigint, doc_ids array<bigint>, text_hashes array<bigint>, n_words array<int>, terms binary, heads binary, gaps binary"
+HIT_SCHEMA = "segment bigint, place bigint, doc_id bigint, text_hash bigint, n_words bigint, spans array<int>, items array<string>"
 RESULT_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 MATCH_SCHEMA = "doc_id bigint, item_id string, kind string, first_word bigint, n_words bigint"
 
@@ -66,13 +66,13 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index segments of the texts; needs no shuffle."""
+    """Index segments of the texts, with each row's id and text hash; needs no shuffle."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("heads", pa.binary()), ("gaps", pa.binary())])
+        schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("heads", pa.binary()), ("gaps", pa.binary())])
         for block in blocks(batches, SEGMENT_BYTES):
             hashes, first = words_of(block.column(1))
             counts = np.diff(first)
@@ -83,20 +83,21 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             postings = place[order].astype(np.uint32)
             gaps = np.diff(postings, prepend=np.uint32(0))  # wraps; cumsum undoes it
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([block.column(0).to_pylist()], schema[1].type), pa.array([counts.astype(np.int32)], schema[2].type)]
+                [pa.array([number]), pa.array([block.column(0).to_pylist()], schema[1].type), pa.array([block.column(2).to_pylist()], schema[2].type), pa.array([counts.astype(np.int32)], schema[3].type)]
                 + [pa.array([x.tobytes()], pa.binary()) for x in (ordered[heads], heads.astype(np.uint32), gaps)],
                 schema=schema,
             )
             number += 1
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(segments), INDEX_SCHEMA)
+    docs = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return docs.mapInArrow(tidied(segments), INDEX_SCHEMA)
 
 
 class Segment:
     """One index row, opened."""
 
-    def __init__(self, segment: int, doc_ids: list, n_words: list, terms: bytes, heads: bytes, gaps: bytes):
-        self.number, self.doc_ids, self.n_words = segment, doc_ids, np.array(n_words, np.int64)
+    def __init__(self, segment: int, doc_ids: list, text_hashes: list, n_words: list, terms: bytes, heads: bytes, gaps: bytes):
+        self.number, self.doc_ids, self.text_hashes, self.n_words = segment, doc_ids, text_hashes, np.array(n_words, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n_words + GAP)])
         self.terms = np.frombuffer(terms, np.uint64)
         self.postings = np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.uint32).astype(np.int64)
@@ -249,15 +250,17 @@ def _found(index: DataFrame, sent) -> DataFrame:
                         items[d[a]] = sorted({names[x] for x in k[a:b]})
                 places = np.arange(len(seg.doc_ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(places), seg.number)), pa.array(places), pa.array(seg.doc_ids, pa.int64()), pa.array(seg.n_words), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    names=["segment", "place", "doc_id", "n_words", "spans", "items"],
+                    [pa.array(np.full(len(places), seg.number)), pa.array(places), pa.array(seg.doc_ids, pa.int64()), pa.array(seg.text_hashes, pa.int64()), pa.array(seg.n_words), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                    names=["segment", "place", "doc_id", "text_hash", "n_words", "spans", "items"],
                 )
 
     return index.mapInArrow(tidied(search), HIT_SCHEMA)
 
 
-def decontaminate(spark: SparkSession, index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """A row per document row: words, hit words and the items that hit it (RESULT_SCHEMA, and `spans`, the hit words)."""
+def decontaminate(spark: SparkSession, index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, keyed: bool = False) -> DataFrame:
+    """A row per document row: words, hit words and the items that hit it (RESULT_SCHEMA, and `spans`, the hit
+    words); if `keyed`, also `text_hash`, which tells rows of one id apart."""
+    key = ["text_hash"] if keyed else []
     sent = [spark.sparkContext.broadcast(b) for b in item_blocks(items, id_col, text_col, window)] or [spark.sparkContext.broadcast([])]
     if len(sent) > 1 and not hasattr(index, "_staged_at"):
         index = Staged(spark, "op2").put(index)  # segment numbers must be the same for every block
@@ -266,12 +269,12 @@ def decontaminate(spark: SparkSession, index: DataFrame, items: DataFrame, id_co
     if len(parts) > 1:  # an item's windows are all in one block; a document's hits may come from several
         for p in parts[1:]:
             hits = hits.unionByName(p)
-        hits = hits.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        hits = hits.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit, count, sha, all_spans = [], [], [], []
-            for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
                 pairs = np.array(spans, np.int64).reshape(-1, 2)
                 spans = _merged(pairs[:, 0], pairs[:, 1] - pairs[:, 0])
                 hit.append(sum(spans[1::2]) - sum(spans[::2]))
@@ -280,11 +283,12 @@ def decontaminate(spark: SparkSession, index: DataFrame, items: DataFrame, id_co
                 sha.append(hashlib.sha256(",".join(items).encode()).hexdigest())
                 all_spans.append(spans)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(all_spans, pa.list_(pa.int32()))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+                [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(all_spans, pa.list_(pa.int32())), *batch.columns[4:]],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *key],
             )
 
-    return hits.select("doc_id", "n_words", "spans", "items").mapInArrow(tidied(summed), RESULT_SCHEMA + ", spans array<int>")
+    schema = RESULT_SCHEMA + ", spans array<int>" + ", text_hash bigint" * keyed
+    return hits.select("doc_id", "n_words", "spans", "items", *key).mapInArrow(tidied(summed), schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline as cp
+import pytest
 from test_dedup import brute_fingerprint, brute_lines
 from test_filters import brute_hits
 
+from metrolith.llm import op02_decontamination as op2
 from metrolith.llm import op03_quality as op3
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -90,6 +92,18 @@ def test_decontamination_stage(spark, tmp_path):
     assert bad == {80} and ids(out) == sorted((r[0] for r in data if r[0] not in bad), key=str)
 
 
+@pytest.mark.parametrize("block", [200_000, 1])
+def test_decontamination_tells_rows_of_one_id_apart(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(op2, "BLOCK_WORDS", block)
+    _, docs = setup(spark, tmp_path)
+    leak = "so " + ITEMS[0][1]
+    clean = [(None, "a clean row", "en", "s", 5), (None, "another", "en", "s", 5), (None, None, None, None, None), (7, "clean too", "en", "s", 5), (7, "clean too", "en", "s", 5), (8, "", "en", "s", 5)]
+    spark.createDataFrame([(3, "another one two three"), (4, "thorough")], "item_id bigint, text string").union(spark.read.parquet(f"{tmp_path}/benchmark.parquet")).write.parquet(f"{tmp_path}/more/benchmark.parquet")
+    docs = spark.createDataFrame([*clean, (None, leak, "en", "s", 5), (7, leak, "en", "s", 5), (7, leak + "!", "en", "s", 5)], SCHEMA)
+    out = cp.drop_contaminated(spark, docs, f"{tmp_path}/more")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(clean, key=str)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     setup(spark, tmp_path)
     docs = spark.createDataFrame([], SCHEMA)

@@ -6,6 +6,11 @@ Sizes prune candidates, and never a match: of a template with b bigrams a matchi
 LIMIT / (2 - LIMIT) * b of them, so a text that has fewer is done with one look-up of its bigrams; and a
 segment has at most (2 - LIMIT) / LIMIT * b bigrams, so runs stop growing there.
 
+A text of which no run of lines matches is searched for windows of words, inside lines and over their ends,
+and against whole licence texts (folder `licenses`) beside the notices.  A window that begins or ends with a
+bigram that it holds twice, or that the template has not, is no better than without it, so only windows
+between other bigrams are tried.  n_segments is then the largest number of matching windows that share no word.
+
 Texts do not shuffle.  Words are compared by 64-bit hash.
 
 Defined cases: a null or empty text, and one of fewer than two words, matches nothing; repeated rows are
@@ -15,6 +20,7 @@ scanned each; ties go to the template whose name comes first; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,10 @@ TEMPLATES = {
 }
 
 
+def whole_texts() -> dict[str, str]:
+    return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
 def bigrams_of(words: np.ndarray) -> np.ndarray:
     return mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
 
@@ -91,15 +101,57 @@ class Templates:
                         top, name = float(dice[i]), self.names[i]
         return count, name, top
 
+    def within(self, words: np.ndarray) -> tuple[int, str | None, float]:
+        """The largest number of disjoint matching word windows, and the best template with its coefficient."""
+        if len(words) < 2:
+            return 0, None, 0.0
+        grams = bigrams_of(words)
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        number = np.where(self.known[at] == grams, at, -1)
+        fits = np.flatnonzero(self.has[np.unique(number[number >= 0])].sum(axis=0) >= self.least)
+        if not len(fits):
+            return 0, None, 0.0
+        order = np.argsort(grams, kind="stable")
+        same = np.flatnonzero(grams[order[1:]] == grams[order[:-1]])
+        before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))  # where each bigram stands next
+        before[order[same + 1]], after[order[same]] = order[same], order[same + 1]
+        found, top, name = [], 0.0, None
+        for t in fits.tolist():
+            hit = (number >= 0) & self.has[number, t]
+            most = (2 - self.limit) / self.limit * self.sizes[t] + 1e-9
+            for a in np.flatnonzero(hit).tolist():
+                n = int(most) + 1
+                while True:
+                    part = slice(a, min(a + n, int(after[a])))
+                    new = before[part] < a
+                    distinct = np.cumsum(new)
+                    if part.stop < a + n or distinct[-1] > most:
+                        break
+                    n *= 2
+                dice = 2 * np.cumsum(new & hit[part]) / (self.sizes[t] + distinct)
+                high = float(dice.max())
+                if high >= self.limit:
+                    found.append((a + int((dice >= self.limit).argmax()) + 2, a))
+                    if (-high, self.names[t]) < (-top, name or ""):
+                        top, name = high, self.names[t]
+        count = free = 0
+        for end, start in sorted(found):
+            if start >= free:
+                count, free = count + 1, end
+        return count, name, top
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, limit: float = LIMIT) -> DataFrame:
     """RESULT_SCHEMA, a row per document row."""
-    known = Templates(templates, limit)
+    known, wide = Templates(templates, limit), Templates(whole_texts() | templates, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1 << 20):
             words, first, line = lined(block.column(1))
-            out = [known.best(words[a:b], line[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            out = []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                lines = known.best(words[a:b], line[a:b])
+                out.append(lines if lines[0] else wide.within(words[a:b]))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([round(o[2], 6) for o in out], pa.float64())], names=["doc_id", "n_segments", "license", "dice"])
 
     return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(run), RESULT_SCHEMA)

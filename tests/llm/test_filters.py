@@ -190,6 +190,39 @@ def test_license_scan(spark):
     assert op8.scan(frame(spark, [])).count() == 0
 
 
+def brute_windows(text):
+    w = words(text)
+    sets = {n: set(zip(g, g[1:], strict=False)) for n, g in ((n, words(t)) for n, t in (op8.whole_texts() | op8.TEMPLATES).items())}
+    best, ends = (0.0, None), []
+    for a in range(len(w)):
+        for b in range(a + 2, len(w) + 1):
+            s = set(zip(w[a:b], w[a + 1 : b], strict=False))
+            found = [(2 * len(s & g) / (len(s) + len(g)), n) for n, g in sets.items()]
+            found = [f for f in found if f[0] >= op8.LIMIT]
+            if found:
+                ends.append((b, a))
+                best = min(best, *found, best, key=lambda x: (-x[0], x[1] or "~"))
+    count = free = 0
+    for b, a in sorted(ends):
+        if a >= free:
+            count, free = count + 1, b
+    return count, best[1], round(best[0], 6)
+
+
+def test_licenses_inside_lines(spark):
+    whole = op8.whole_texts()
+    rows = [
+        (1, "The code of this page is free. Released under the MIT License."), (2, "Text and pictures on this site are licensed under CC BY 4.0."),
+        (3, "all of this is released under the mit\nlicense, and that also: licensed under CC BY-NC 4.0; under the MIT License so much more text"),
+        (4, "released under the MIT " * 12), (5, "released under released under the MIT MIT license under the mit license of the very free sort that goes on here"), (6, "this is released under no license, of the mit"),
+    ]
+    texts = [(10 + i, "some words before " + " ".join(t.split()) + " and after") for i, t in enumerate(whole.values())]
+    got = {r.doc_id: tuple(r)[1:] for r in op8.scan(frame(spark, rows + texts)).collect()}
+    assert {i: got[i] for i, _ in rows} == {i: brute_windows(t) for i, t in rows}
+    assert got[1][1] == "mit-notice" and got[2][1] == "cc-by-4.0-notice" and got[3][0] == 3 and got[6][1] is None
+    assert all(got[10 + i][2] == 1 and got[10 + i][1].split("-")[0] == n.split("-")[0] for i, n in enumerate(whole))
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",

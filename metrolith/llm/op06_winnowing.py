@@ -2,7 +2,8 @@
 
 Every `K` consecutive code points have a rolling hash; of each `WINDOW` consecutive hashes the smallest is
 kept, the rightmost on ties, with its position.  Texts that share K + WINDOW - 1 code points share a
-fingerprint, wherever the passage stands.  A fingerprint string is a list of records of 16 hexadecimal
+fingerprint, wherever the passage stands: 40 of them, so also a text of 80 and a copy that keeps half of it.
+Shorter passages may share none.  A fingerprint string is a list of records of 16 hexadecimal
 digits: 11 of the hash (44 bits), 5 of the distance from the last kept position, which is below WINDOW + 1;
 positions() reads it.  The likeness of two fingerprints is the Jaccard index of their hash sets.
 
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 from metrolith.llm.common import Rolling, narrow, read, tidied
 
 K = 20
-WINDOW = 81
+WINDOW = 21
 STEP = 1 << 18
 RESULT_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 _HASH = Rolling(7411, 1 << 12)
 _LOW = np.uint64((1 << 20) - 1)
-FLUSH_ROWS = 128
+FLUSH_ROWS = 32
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:

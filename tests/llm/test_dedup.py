@@ -221,6 +221,14 @@ def test_winnowing_selects_window_minima(monkeypatch):
                 assert op6.positions(op6.written(hashes, places)) == [(f"{h:011x}", at) for at, h in kept]
 
 
+def test_short_edited_copies_share_fingerprints():
+    rnd = random.Random(8)
+    for n in [80, 81, 99, 100, 150, 199] * 20:
+        text, other = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for _ in range(2))
+        own, new = op6.Printed(text), op6.Printed(op6.edited(text, other))
+        assert op6.likeness(own.set, new.set) > 0
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 16])
 def test_winnowing_neighbours(spark, ranges):
     rows = [(i * 3, "".join(random.Random(i).choice("ab cé😀") for _ in range(i * 7 % 150))) for i in range(60)] + [(None, "first of all"), (7, "same"), (7, "same"), (10**12, None)]

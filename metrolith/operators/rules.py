@@ -3,7 +3,7 @@
 Input is a token table (doc_id, i, text, lemma, pos, dep, head); i counts a document's tokens from 0 and head
 is the index of a token's governor (its own for a root).  A rule names its tokens, constrains their
 attributes, and relates each to an earlier one.  Relations: `>` the new token is governed by the earlier,
-`<` it governs it, `>>` and `<<` the same over any depth, `.` it stands directly behind, `;` directly before,
+`<` it governs it, `>>` and `<<` the same over up to MAX_DEPTH (8) heads, `.` it stands directly behind, `;` directly before,
 `$+` it is the next sibling to the right.
 
 Tokens are gathered once into a row for each document (a sentence or a few), one exchange on doc_id; all

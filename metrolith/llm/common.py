@@ -9,18 +9,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+
+BROADCAST_BYTES = 32 << 20  # of a table's rows; what has more is joined by a shuffle
 
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that all executors see (spark.checkpoint.dir); where that is unset, as in tests, a temporary
+    one of this machine, which only a local session may use."""
     global _own_dir
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="metrolith-")
         atexit.register(__import__("shutil").rmtree, _own_dir.removeprefix("file://"), True)
@@ -28,10 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staged:
-    """Tables written once to the shared folder and read back: they cut lineage and survive lost executors."""
+    """Tables written once to the shared folder and read back: they cut lineage and survive lost executors.
+
+    An operator's result may read them until it is written, so they stay; release() then deletes them.
+    """
+
+    made: list[Staged] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        Staged.made.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -43,14 +55,44 @@ class Staged:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a staged table that nothing reads any more."""
+        self._delete(df._staged_at)
+
+    def _delete(self, where: str) -> None:
         jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
-
-def checked(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A broadcast of a staged table of a few short columns if it has at most `most` rows; else the table."""
-    return F.broadcast(df) if df.count() <= most else df
+    @staticmethod
+    def release(since: int = 0) -> None:
+        """Deletes the tables of all but the first `since` that were made; their results must be written."""
+        while len(Staged.made) > since:
+            old = Staged.made.pop()
+            old._delete(old.root)
+
+
+def row_bytes(schema: StructType) -> Column:
+    """About what a row takes in a broadcast relation: 8 bytes a field and for the row, and what strings,
+    binaries and arrays hold."""
+
+    def held(kind: DataType, c: Column) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c).cast("bigint"), F.lit(0)) + 8
+        if isinstance(kind, StructType):
+            return sum((held(f.dataType, c[f.name]) for f in kind.fields), F.lit(8))
+        if isinstance(kind, ArrayType):
+            if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+                return F.coalesce(F.aggregate(c, F.lit(8).cast("bigint"), lambda n, x: n + held(kind.elementType, x).cast("bigint")), F.lit(8))
+            return F.coalesce(F.size(c).cast("bigint") * 8, F.lit(0)) + 8
+        return F.lit(8)
+
+    return sum((held(f.dataType, F.col(f"`{f.name}`")) for f in schema.fields), F.lit(16)).cast("bigint")
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A broadcast of a staged table if its rows hold at most BROADCAST_BYTES; else the table itself, which
+    adaptive execution may still split where a key is hot."""
+    held = df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:

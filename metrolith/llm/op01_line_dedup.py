@@ -1,23 +1,26 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-Of each `window` consecutive line hashes of a document the smallest (the rightmost on ties) is a
-fingerprint; equal runs of at least `window` lines therefore share one, at the same place in the run.
-Fingerprints that stand at one position only are dropped by a count.  The others' positions are joined, and
-each is extended over the windows that chose it, to both sides: a window's lines as a whole, by two 64-bit
-hashes, meet their first place in the corpus.  Consecutive extended windows add up to the longest common
-run.  A line goes if a window over it also stands earlier: in a smaller doc_id, or earlier in its own
-document.  A line of more than `long_words` words (runs of characters that are no white space) is a window
-by itself too, whatever stands beside it, and meets one-line documents; the registered query goes without
-that, as its SQL does.
+A window is the shortest run of lines from a line on that has `window` lines or more than `words` words (runs
+of characters that are no ASCII blank).  Of each window's line hashes the smallest, the rightmost on ties, is
+selected; a selected position with all windows that select it is one fingerprint, about one for each two or
+three lines.  What is guaranteed: runs of lines that repeat and hold a whole window, so all of `window` lines
+or of more than `words` words, a single long line too, share that window's fingerprint.  Shorter repeats stay.
+
+Fingerprints whose hash stands at one position only are dropped by a count.  The others' positions are joined,
+and matches are extended to both sides through the windows around each position: a window's lines, by two
+hashes of 64 bits for each line, meet the first place in the corpus that has them.  Consecutive windows add up
+to the longest run that repeats.  A line goes if a window over it also stands earlier: in a smaller doc_id, or
+earlier in its own document.
 
 Every exchange before the texts' own carries hashes and positions only.  Counts and first places are sums
 and minima with map-side combination, and the joins back are on one row for each key, which adaptive
-execution can split, so a line that a third of all documents hold burdens no single task.
+execution can split, so a line that a third of all documents hold burdens no single task.  Sides of at most
+BROADCAST_BYTES (common) are broadcast; beyond that the same joins shuffle.
 
 Defined cases: null and empty texts have no lines; lines are cut at line feeds and compared as they are,
-blank ones too; a document of fewer lines than the window is one window and meets others of its kind; null
-ids come first; rows with equal id and text are one document to this operator and all keep what the first
-keeps; an empty table gives no rows.
+blank ones too; a document without a whole window is one window and meets others of its kind; null ids come
+first; rows with equal id and text are one document to this operator and all keep what the first keeps; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,48 +30,53 @@ from pyspark.sql import functions as F
 
 from metrolith.llm.common import Staged, checked, read
 
-WINDOW = 2
-LONG_WORDS = 50
-BROADCAST_PLACES = 500_000  # rows of six numbers: at most about 50 MB
-BROADCAST_LINES = 1_000_000  # line numbers, at least one a row: at most about 60 MB
+WINDOW = 4
+WORDS = 50
+NO_BLANK = r"[^\x20\x09-\x0D]+"
 
 
-def _windows(docs: DataFrame, window: int, long_words: int | None) -> DataFrame:
-    """A row per window: its place, its fingerprint line's hash, whether that position is new, and its own hashes.
-    A window of one line is its own fingerprint."""
-    w = F.least(F.lit(window), F.size("lines"))
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
+def _sized(counts: Column, i: Column, window: int, words: int | None) -> Column:
+    """The number of lines of the window that starts at line i, null if the text ends before it does."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
+    full = lambda a: (a["w"] > words) if words is not None else F.lit(False)
+    grown = lambda a, c: F.when(full(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + c).alias("w")))
+    return F.aggregate(F.slice(counts, i + 1, F.lit(window)), start, grown, lambda a: F.when((a["n"] == window) | full(a), a["n"]))
 
-    def chosen(i: Column) -> Column:
+
+def _fingerprints(docs: DataFrame, window: int, words: int | None) -> DataFrame:
+    """A row per fingerprint: its document, its hash, and the windows that select it (first line i, lines n, and
+    two hashes of all their lines). Windows are made within the row, so that exploding copies no lines."""
+    hashes = lambda seed: F.transform("lines", lambda x: F.xxhash64(*seed, x))
+    counts = F.transform("lines", lambda x: F.regexp_count(x, F.lit(NO_BLANK)) if words is not None else F.lit(0))
+    docs = docs.filter(F.size("lines") > 0).withColumns({"h1": hashes([]), "h2": hashes([F.lit(7)]), "counts": counts})
+    starts = F.sequence(F.lit(0), F.size("counts") - 1)
+    whole = F.filter(F.transform(starts, lambda i: F.struct(i.alias("i"), _sized(F.col("counts"), i, window, words).alias("n"))), lambda w: w["n"].isNotNull())
+    docs = docs.select("doc_id", "th", "h1", "h2", whole.alias("wins"))
+    docs = docs.withColumn("wins", F.when(F.size("wins") > 0, F.col("wins")).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.size("h1").alias("n")))))
+
+    def selected(w: Column) -> Column:
         """Hash and negated place of the window's smallest line hash; of equal ones the rightmost."""
-        return F.array_min(F.transform(F.slice("hashes", i + 1, w), lambda h, j: F.struct(h.alias("h"), (-(i + j)).alias("back"))))
+        return F.array_min(F.transform(F.slice("h1", w["i"] + 1, w["n"]), lambda h, j: F.struct(h.alias("h"), (-(w["i"] + j)).alias("back"))))
 
-    docs = docs.filter(F.size("lines") > 0).withColumn("hashes", hashes).withColumn("w", w)
-    docs = docs.withColumn("picks", F.transform(F.sequence(F.lit(0), F.size("lines") - F.col("w")), chosen))
+    docs = docs.withColumn("picks", F.transform("wins", selected))
+    new = lambda k: (k == 0) | (F.get("picks", k)["back"] != F.get("picks", k - 1)["back"])
+    docs = docs.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.size("picks") - 1), new))
 
-    def place(pick: Column, i: Column) -> Column:
-        whole = F.slice("lines", i + 1, F.col("w"))
-        new = F.when(i == 0, True).otherwise(pick["back"] != F.get("picks", i - 1).getField("back"))
-        k1 = F.xxhash64(F.lit(1), "w", whole)
-        return F.struct(i.alias("i"), F.col("w").alias("w"), F.when(F.col("w") == 1, k1).otherwise(pick["h"]).alias("print"), new.alias("new"), k1.alias("k1"), F.xxhash64(F.lit(2), "w", whole).alias("k2"))
+    def keyed(w: Column) -> Column:
+        key = lambda seed, hs: F.xxhash64(F.lit(seed), w["n"], F.slice(hs, w["i"] + 1, w["n"]))
+        return F.struct(w["i"].alias("i"), w["n"].alias("n"), key(1, "h1").alias("k1"), key(2, "h2").alias("k2"))
 
-    def long(line: Column, i: Column) -> Column:
-        """A long line as a window of one, hashed as place() hashes such."""
-        k1, k2 = (F.xxhash64(F.lit(n), F.lit(1), F.array(line)) for n in (1, 2))
-        many = (F.length(line) > 2 * long_words) & (F.regexp_count(line, F.lit(r"\S+")) > long_words)
-        return F.when(many, F.struct(i.alias("i"), F.lit(1).alias("w"), k1.alias("print"), F.lit(True).alias("new"), k1.alias("k1"), k2.alias("k2")))
+    def fingerprint(first: Column, k: Column) -> Column:
+        own = F.slice("wins", first + 1, F.coalesce(F.get("firsts", k + 1), F.size("wins")) - first)
+        return F.struct(F.get("picks", first)["h"].alias("print"), F.transform(own, keyed).alias("wins"))
 
-    # Windows are made within the row, so that exploding copies no lines.
-    places = F.transform("picks", place)
-    if long_words is not None:
-        longs = F.filter(F.transform("lines", long), lambda p: p.isNotNull())
-        places = F.when(F.col("w") == 1, places).otherwise(F.concat(places, longs))
-    return docs.select("doc_id", "th", F.explode(places).alias("p")).select("doc_id", "th", "p.i", "p.w", "p.print", "p.new", "p.k1", "p.k2")
+    docs = docs.select("doc_id", "th", F.explode(F.transform("firsts", fingerprint)).alias("f"))
+    return docs.select("doc_id", "th", "f.print", "f.wins")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), long_words: int | None = LONG_WORDS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), words: int | None = WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept), a row per document row; `kept` is the text that stays. The columns
-    named in `carry` follow, in a struct `carried`. With `long_words` None no line is a window by its length."""
+    named in `carry` follow, in a struct `carried`. With `words` None all windows have `window` lines."""
     staged = Staged(spark, "op1")
     text = F.coalesce("text", F.lit(""))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).alias("none"))
@@ -76,23 +84,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), "carried")
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
     docs = docs.withColumn("lines", lines)
-    windows = staged.put(_windows(docs, window, long_words))
+    prints = staged.put(_fingerprints(docs, window, words))
 
-    shared = windows.filter("new").groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print")
-    # Tables: broadcast if a count shows that they are small; else adaptive execution may split their joins
-    # where a line is hot.
-    shared = checked(staged.put(shared))
-    alive = windows.join(shared, "print", "left_semi").select("doc_id", "th", "i", "w", "k1", "k2")
+    shared = staged.put(prints.groupBy("print").agg(F.count("*").alias("c")).filter("c > 1").select("print"))
+    near = prints.join(checked(shared), "print", "left_semi")
+    near = staged.put(near.select("doc_id", "th", F.explode("wins").alias("w")).select("doc_id", "th", "w.*"))
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "th", "i")
-    first = alive.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").select("k1", "k2", "first")
-    first = checked(staged.put(first), BROADCAST_PLACES)
-    later = alive.join(first, ["k1", "k2"]).filter(~F.col("first").eqNullSafe(place))
-    gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i") + 1, F.col("i") + F.col("w"))))).alias("gone"))
+    first = near.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").select("k1", "k2", "first")
+    first = staged.put(first)
+    later = near.join(checked(first), ["k1", "k2"]).filter(~F.col("first").eqNullSafe(place)).select("doc_id", "th", "i", "n").distinct()
+    gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i") + 1, F.col("i") + F.col("n"))))).alias("gone"))
     gone = staged.put(gone.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "gone"))
-    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
-        gone = F.broadcast(gone)  # then the texts need not move
+    for old in (prints, shared, near, first):
+        staged.drop(old)
 
-    out = docs.select("doc_id", "th", "text", "carried").join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
+    # If the removed lines are few, the texts need not move to meet them.
+    out = docs.select("doc_id", "th", "text", "carried").join(checked(gone), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     out = out.withColumn("lines", lines).withColumn("n_lines", F.size("lines").cast("bigint"))
     stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda j: F.element_at("lines", j)), "\n"))
@@ -100,21 +107,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark, read(spark, sf_dir, "documents"), long_words=None)  # as ORACLE has it
+    out = dedup_lines(spark, read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-ORACLE = """
+ORACLE = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(text, chr(10)) END AS lines FROM documents
+), counted AS (
+  SELECT doc_id, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS cs FROM d WHERE len(lines) > 0
+), starts AS (
+  SELECT doc_id, lines, cs, unnest(range(1, len(lines) + 1)) AS i FROM counted
 ), sized AS (
-  SELECT doc_id, lines, least(2, len(lines)) AS w FROM d WHERE len(lines) > 0
+  SELECT doc_id, lines, i, list_min(list_filter([1, 2, 3, 4], lambda n: i + n - 1 <= len(lines) AND (n = 4 OR list_sum(cs[i:i + n - 1]) > 50))) AS n FROM starts
 ), wins AS (
-  SELECT doc_id, i, w, array_to_string(lines[i:i + w - 1], chr(10)) AS g FROM (SELECT doc_id, lines, w, unnest(range(1, len(lines) - w + 2)) AS i FROM sized)
+  SELECT doc_id, lines, i, n FROM sized WHERE n IS NOT NULL
+  UNION ALL SELECT doc_id, lines, 1 AS i, len(lines) AS n FROM counted WHERE doc_id NOT IN (SELECT doc_id FROM sized WHERE n IS NOT NULL)
 ), later AS (
-  SELECT doc_id, i, w FROM (SELECT doc_id, i, w, row_number() OVER (PARTITION BY w, g ORDER BY doc_id, i) AS r FROM wins) WHERE r > 1
+  SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, array_to_string(lines[i:i + n - 1], chr(10)) ORDER BY doc_id, i) AS r FROM wins) WHERE r > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + w)) AS j FROM later
+  SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM later
 ), per_doc AS (
   SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
 )

@@ -12,6 +12,7 @@ Only terms of texts with an entity that stands in SUPPORT texts are candidates;
 counted over all texts.  All counts are distinct sums with map-side combination; texts meet their terms by
 document, and rows of hot entities are split by adaptive execution.
 
+Terms are compared without regard to case (folded()).
 Spans are kind:start:end in code points, end exclusive, by kind (email, ip, card, phone, term), then start.
 Base spans of one kind do not overlap; term spans that overlap a base span are left out.
 
@@ -28,7 +29,6 @@ from metrolith.llm.common import Staged, checked, narrow, read
 
 SUPPORT = 3
 DISCLOSED = 0.95
-BROADCAST_ROWS = 200_000
 WORD = r"[A-Za-z\x{80}-\x{10FFFF}]{3,}"
 
 # The query's patterns. A match can only begin at the start of a run of its leading
@@ -45,6 +45,11 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def folded(text: Column) -> Column:
+    """Lower case, one code point for each: İ, whose lower case has two, counts as I."""
+    return F.lower(F.translate(text, "İ", "I"))
+
+
 def located(text: Column, pattern: Column, kind: str) -> Column:
     """Spans of the pattern's matches: what lies between them gives their places."""
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
@@ -116,10 +121,10 @@ def disclosing_terms(staged: Staged, docs: DataFrame, base: DataFrame, support:
     """
 
     def words(df: DataFrame) -> DataFrame:
-        return df.withColumn("term", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))))
+        return df.withColumn("term", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(WORD), F.lit(0)))))
 
     n = docs.count()
-    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], folded(s["value"]))))
     entities = base.filter(F.size("spans") > 0).select("th", F.explode(named).alias("entity")).groupBy("th", "entity").agg(F.count("*").alias("copies"))
     common = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).drop("texts")
     pairs = staged.put(entities.join(common, "entity"))
@@ -128,14 +133,14 @@ def disclosing_terms(staged: Staged, docs: DataFrame, base: DataFrame, support:
     both = words(near).select("th", "term").join(pairs, "th").groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
     both = staged.put(both.filter(F.col("texts") >= support))
     terms = staged.put(both.select("term").distinct())
-    k = terms.count()
-    if k <= BROADCAST_ROWS:
-        counts = words(docs).select("term").join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    few = checked(terms)
+    if few is not terms:
+        counts = words(docs).select("term").join(few, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:  # then every term is summed, on the map side first
         counts = words(docs).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     told = F.try_divide(F.log2(F.col("n_both") * n / (F.col("n_t") * F.col("n_e"))), F.log2(n / F.col("n_e")))
     bad = staged.put(both.join(counts, "term").filter((F.col("n_e") < n) & (told >= disclosed)).select("term").distinct())
-    seen = words(docs).select("doc_id", "th", "term").join(checked(bad, BROADCAST_ROWS), "term")
+    seen = words(docs).select("doc_id", "th", "term").join(checked(bad), "term")
     return staged.put(seen.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("term")).alias("terms")))
 
 
@@ -152,9 +157,11 @@ def find_pii(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
 def _located_terms(staged: Staged, docs: DataFrame, base: DataFrame, listed: DataFrame) -> DataFrame:
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
     edge = r"[A-Za-z\x{80}-\x{10FFFF}]"
-    # A term is a whole word; its letters need no quoting.
-    pattern = F.concat(F.lit(rf"(?iu)(?<!{edge})(?:"), F.array_join("terms", "|"), F.lit(rf")(?!{edge})"))
-    found = docs.alias("d").join(checked(listed, BROADCAST_ROWS).alias("l"), same("d", "l")).select("d.doc_id", "d.th", located(F.col("d.text"), pattern, "term").alias("terms")).dropDuplicates(["doc_id", "th"])
+    # A term is a whole word; its letters need no quoting. Folding keeps places.
+    pattern = F.concat(F.lit(rf"(?<!{edge})(?:"), F.array_join("terms", "|"), F.lit(rf")(?!{edge})"))
+    found = docs.alias("d").join(checked(listed).alias("l"), same("d", "l"))
+    own = F.transform(located(folded(F.col("d.text")), pattern, "term"), lambda s: s.withField("value", F.substr(F.col("d.text"), s["start"] + 1, s["end"] - s["start"])))
+    found = found.select("d.doc_id", "d.th", own.alias("terms")).dropDuplicates(["doc_id", "th"])
     out = base.alias("b").join(found.alias("f"), same("b", "f"), "left")
     free = F.filter(F.coalesce("f.terms", F.array().cast(SPAN)), lambda t: ~F.exists(F.col("b.spans"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return out.select("b.doc_id", "b.th", F.col("b.spans").alias("base"), free.alias("terms"))

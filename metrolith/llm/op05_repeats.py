@@ -13,22 +13,27 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    Streaming over the text, a position inside a run has its left neighbour's value less one, so the samples
    give every position's matching statistic against the rest of the bucket: its longest match elsewhere.
    A window whose statistic reaches `length` is repeated.
-4. An anchor with more than `MOST` distinct contexts (a hot passage's edge) does not go to one bucket: its
-   windows are counted by two 64-bit hashes, pre-aggregated.  Nothing is dropped or capped.
+4. An anchor with more than `MOST` distinct contexts (a hot passage's edge) is split until no part has more:
+   its windows by the number of bytes that they have behind the anchor, in halves, and each half by the bytes
+   that all its windows must have before and behind the anchor.  Equal windows stay together, equal parts of
+   contexts are again one with a count, and every part goes to the index like a whole anchor.
 5. Marks meet their texts by document; a text whose marks are known from step 2 is finished on the way and
    only the others are kept for the marks of step 3.
 
-Contexts are taken as equal if two 64-bit hashes (anchor and whole) agree; windows within a bucket are
+Rows are told apart by two numbers: the id (for a null id a hash of the text) and a 64-bit hash of id and
+text.  Contexts are taken as equal if two 64-bit hashes (anchor and whole) agree; windows within a bucket are
 compared exactly.
 
 Defined cases: a null text is empty; texts shorter than `length` keep everything; repeated rows, also with
-equal or null ids, are texts of their own and repeat each other; an empty table gives no rows.
+equal or null ids, are texts of their own and repeat each other, and their marks are gathered once; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +46,13 @@ LENGTH = 200
 ANCHOR = 48
 BLOCK_BYTES = 1 << 19
 BUCKET_BYTES = 1 << 20
-MOST = 16_384  # contexts of one anchor in one bucket: about 5 MB of text, 400 MB in its worker
+MOST = 2048  # contexts of one anchor in one bucket: about 0.7 MB of text
 
 RESULT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-ANCHOR_SCHEMA = "anchor bigint, ctx bigint, doc_id bigint, th int, s0 int, n int"
-PASS_SCHEMA = RESULT_SCHEMA + ", th int, text string, spans array<int>, anchor bigint, s0 int, n int, single boolean, bytes binary"
+ANCHOR_SCHEMA = "anchor bigint, ctx bigint, k1 bigint, k2 bigint, s0 int, n int"
+PASS_SCHEMA = RESULT_SCHEMA + ", k1 bigint, k2 bigint, text string, spans array<int>, anchor bigint, s0 int, n int, single boolean, bytes binary"
+CONTEXT = ["anchor", "k1", "k2", "s0", "n", "single", "bytes"]
+MARKS_SCHEMA = "k1 bigint, k2 bigint, spans array<int>"
 
 _HASH = Rolling(977, 1 << 10)
 _LOW = np.uint64((1 << 20) - 1)
@@ -197,6 +204,8 @@ def _result(doc_id: int | None, text: bytes, spans: list[tuple[int, int]]) -> tu
 
 
 def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """ANCHOR_SCHEMA of docs (k1, k2, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
             data, offsets = raw(block.column(2))
@@ -204,38 +213,38 @@ def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), block.column(0).take(at), block.column(1).take(at), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["anchor", "ctx", "doc_id", "th", "s0", "n"],
+                names=["anchor", "ctx", "k1", "k2", "s0", "n"],
             )
 
-    return docs.mapInArrow(tidied(run), ANCHOR_SCHEMA)
+    return docs.select("k1", "k2", "text").mapInArrow(tidied(run), ANCHOR_SCHEMA)
 
 
 def _passed(docs: DataFrame, length: int) -> DataFrame:
-    """docs (doc_id, th, text, found): finished results; of the others text and spans, and the contexts to index."""
+    """docs (doc_id, k1, k2, text, found): finished results; of the others text and spans, and the contexts to index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "th", "text", "spans", "anchor", "s0", "n", "single", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "k1", "k2", "text", "spans", "anchor", "s0", "n", "single", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in blocks(batches, 1 << 22):
             rows = []
-            for doc_id, th, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc_id, k1, k2, text, found in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 data = (text or "").encode()
                 known = [(f["s0"], f["s0"] + f["n"] - 1 + length) for f in found or [] if f["settled"]]
                 if any(not f["settled"] for f in found or []):
-                    rows.append((doc_id, None, None, None, None, th, text, [x for s in known for x in s], None, None, None, None, None))
+                    rows.append((doc_id, None, None, None, None, k1, k2, text, [x for s in known for x in s], None, None, None, None, None))
                 else:
-                    rows.append((*_result(doc_id, data, known), *[None] * 8))
+                    rows.append((*_result(doc_id, data, known), *[None] * 9))
                 for f in found or []:
                     if f["index"]:
                         s0 = f["s0"]
-                        rows.append((doc_id, None, None, None, None, th, None, None, f["anchor"], s0, f["n"], not f["settled"], data[s0 : s0 + f["n"] - 1 + length]))
+                        rows.append((doc_id, None, None, None, None, k1, k2, None, None, f["anchor"], s0, f["n"], not f["settled"], data[s0 : s0 + f["n"] - 1 + length]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
 
     return docs.mapInArrow(tidied(run), PASS_SCHEMA)
 
 
 def _indexed(found: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, spans) of contexts (anchor, doc_id, th, s0, n, single, bytes) that have a bucket for each anchor."""
+    """MARKS_SCHEMA of contexts (CONTEXT) that have a bucket for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -243,8 +252,8 @@ def _indexed(found: DataFrame, length: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             runs = repeated_windows([r["bytes"] for r in held], [r["n"] for r in held], [r["single"] for r in held], length)
-            marks = [(r["doc_id"], r["th"], [x for a, b in s for x in (r["s0"] + a, r["s0"] + b + length)]) for r, s in zip(held, runs, strict=True) if s]
-            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int32()), pa.array([m[2] for m in marks], pa.list_(pa.int32()))], names=["doc_id", "th", "spans"])
+            marks = [(r["k1"], r["k2"], [x for a, b in s for x in (r["s0"] + a, r["s0"] + b + length)]) for r, s in zip(held, runs, strict=True) if s]
+            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([m[2] for m in marks], pa.list_(pa.int32()))], names=["k1", "k2", "spans"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -256,54 +265,110 @@ def _indexed(found: DataFrame, length: int) -> DataFrame:
         if held:
             yield out()
 
-    columns = ["anchor", "doc_id", "th", "s0", "n", "single", "bytes"]
-    return found.select(*columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidied(run), "doc_id bigint, th int, spans array<int>")
+    return found.select(*CONTEXT).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidied(run), MARKS_SCHEMA)
+
+
+def anchor_offset(data: np.ndarray, length: int, k: int) -> int:
+    """Where a context's anchor stands: the smallest gram of its first window, as contexts() takes it."""
+    at = np.arange(length - k + 1)
+    hashes = _HASH.ranges(_HASH.prefix(data[:length]), at, at + k)
+    return int(np.argmin((hashes & ~_LOW) | (_LOW - at.astype(np.uint64))))
+
+
+def halves(data: bytes, key: int, n: int, offset: int, low: int, high: int, length: int, k: int) -> list[tuple]:
+    """The two parts of a context, as (key, whole, offset, low, high, first, n, bytes).
+
+    low <= r < high for the number r of bytes that a window of it has behind the anchor.  All windows of the
+    part [a, b) have a bytes behind the anchor and length - k - b + 1 before it; these make its key.
+    """
+    out = []
+    middle = (low + high) // 2
+    base = length - k - offset  # r of the context's first window
+    for a, b in ((low, middle), (middle, high)):
+        first, last = max(0, a - base), min(n - 1, b - 1 - base)
+        if a == b or last < first:
+            continue
+        before = length - k - b + 1
+        shared = hashlib.blake2b(data[offset - before : offset + k + a], digest_size=8, key=b"%d:%d:%d" % (key, a, b)).digest()
+        part = data[first : last + length]
+        whole = hashlib.blake2b(part, digest_size=8, key=b"%d" % (offset - first)).digest()
+        out.append((int.from_bytes(shared, "big", signed=True), int.from_bytes(whole, "big", signed=True), offset - first, a, b, first, last - first + 1, part))
+    return out
 
 
-def _counted(found: DataFrame, length: int) -> DataFrame:
-    """The same for contexts of hot anchors: every window by two hashes, counted with map-side sums."""
+def _halved(hot: DataFrame, length: int, k: int) -> DataFrame:
+    """The halves of contexts (CONTEXT, and offset, low, high, null for a whole one) and their ctx."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = Rolling(31337, 1 << 10)
+        names = ["anchor", "ctx", "offset", "low", "high", "s0", "n", "bytes", "k1", "k2", "single"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
-            for row in batch.to_pylist():
-                data, at = np.frombuffer(row["bytes"], np.uint8), np.arange(row["n"])
-                a, b = (h.ranges(h.prefix(data), at, at + length).view(np.int64) for h in (_HASH, other))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([row["doc_id"]] * row["n"], pa.int64()), pa.array([row["th"]] * row["n"], pa.int32()), pa.array((row["s0"] + at).astype(np.int32)), pa.array([row["single"]] * row["n"])], names=["h1", "h2", "doc_id", "th", "s", "single"])
+            rows = []
+            for r in batch.to_pylist():
+                offset, low, high = r["offset"], r["low"], r["high"]
+                if offset is None:
+                    offset, low, high = anchor_offset(np.frombuffer(r["bytes"], np.uint8), length, k), 0, length - k + 1
+                for key, whole, at, a, b, first, n, part in halves(r["bytes"], r["anchor"], r["n"], offset, low, high, length, k):
+                    rows.append((key, whole, at, a, b, r["s0"] + first, n, part, r["k1"], r["k2"], r["single"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
 
-    windows = found.select("doc_id", "th", "s0", "n", "single", "bytes").mapInArrow(tidied(run), "h1 bigint, h2 bigint, doc_id bigint, th int, s int, single boolean")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
-    hit = windows.filter("single").join(twice, ["h1", "h2"], "left_semi")
-    return hit.select("doc_id", "th", F.array("s", F.col("s") + length).alias("spans"))
+    return hot.select(*CONTEXT, "offset", "low", "high").mapInArrow(tidied(run), "anchor bigint, ctx bigint, offset int, low int, high int, s0 int, n int, bytes binary, k1 bigint, k2 bigint, single boolean")
+
+
+def _split(staged: Staged, found: DataFrame, hot: DataFrame, length: int, k: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts for the index, and marks, of hot anchors; at most log2(length) rounds."""
+    cold, marks = [], []
+    now = found.join(hot, "anchor").select(*CONTEXT, *[F.lit(None).cast("int").alias(c) for c in ("offset", "low", "high")])
+    while True:
+        parts = staged.put(_halved(now, length, k))
+        place = F.struct("k1", "k2", "s0")
+        once = staged.put(parts.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(place).alias("rep"), F.bool_and("single").alias("alone")))
+        of = parts.withColumnRenamed("single", "was").join(once, ["anchor", "ctx"])
+        settled = of.filter("was and (c > 1 or not alone)")
+        marks.append(settled.select("k1", "k2", F.array("s0", F.col("s0") + F.col("n") - 1 + length).alias("spans")))
+        kept = of.filter(F.col("rep").eqNullSafe(place)).withColumn("single", F.expr("c = 1 and alone"))
+        sizes = once.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("anchor")
+        sizes = staged.put(sizes)
+        hotter = kept.join(sizes, "anchor", "left_semi").filter("high - low > 1")
+        cold.append(kept.join(sizes, "anchor", "left_anti").select(*CONTEXT).unionByName(kept.join(sizes, "anchor", "left_semi").filter("high - low <= 1").select(*CONTEXT)))
+        if not sizes.take(1):
+            return cold, marks
+        now = staged.put(hotter.select(*CONTEXT, "offset", "low", "high"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
     """A row per document row (RESULT_SCHEMA)."""
     staged = Staged(spark, "op5")
-    docs = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.hash("doc_id", "text").alias("th"), "text")
+    k1 = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(7), "text")).otherwise(F.col("doc_id").cast("bigint"))
+    docs = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", k1.alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "text")
     rows = staged.put(_anchors(docs, length, anchor))
     groups = rows.groupBy("anchor").agg(F.count("*").alias("g"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("g > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     groups = staged.put(groups)  # a table, so that adaptive execution may split the join where an anchor is hot
     shared = staged.put(rows.join(groups, "anchor"))
     staged.drop(rows)
 
-    mixed = shared.filter("mixed").drop("mixed")
-    distinct = staged.put(mixed.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s0")).alias("rep")))
+    mixed, place = shared.filter("mixed").drop("mixed"), F.struct("k1", "k2", "s0")
+    distinct = staged.put(mixed.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(place).alias("rep")))
     settled = F.col("c") > 1
-    known = mixed.join(distinct, ["anchor", "ctx"]).withColumn("index", F.col("rep").eqNullSafe(F.struct("doc_id", "th", "s0")))
-    known = known.select("doc_id", "th", F.struct("s0", "n", "anchor", settled.alias("settled"), "index").alias("f"))
-    plain = shared.filter("not mixed").select("doc_id", "th", F.struct("s0", "n", "anchor", F.lit(True).alias("settled"), F.lit(False).alias("index")).alias("f"))
-    of = known.unionByName(plain).groupBy("doc_id", "th").agg(F.collect_list("f").alias("found"))
-    of = of.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "found")
-    joined = docs.join(of, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "th", "text", "found")
-    passed = staged.put(_passed(joined, length))
+    known = mixed.join(distinct, ["anchor", "ctx"]).withColumn("index", F.col("rep") == place)
+    known = known.select("k1", "k2", F.struct("s0", "n", "anchor", settled.alias("settled"), "index").alias("f"))
+    plain = shared.filter("not mixed").select("k1", "k2", F.struct("s0", "n", "anchor", F.lit(True).alias("settled"), F.lit(False).alias("index")).alias("f"))
+    # A set, so that rows with equal id and text, however many, gather one text's contexts.
+    of = known.unionByName(plain).groupBy("k1", "k2").agg(F.collect_set("f").alias("found"))
+    passed = staged.put(_passed(docs.join(of, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "found"), length))
 
     found = passed.filter("bytes is not null")
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("anchor")
-    marks = _indexed(found.join(hot, "anchor", "left_anti"), length).unionByName(_counted(found.join(hot, "anchor", "left_semi"), length))
-    marks = marks.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("more")).select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "more")
-    waiting = passed.filter("n_bytes is null and bytes is null").select("doc_id", "th", "text", "spans")
-    waiting = waiting.join(marks, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "spans", "more")
+    if found.count() > distinct.count():  # rows with equal id and text hand on equal contexts
+        found = staged.put(found.select(*CONTEXT).dropDuplicates(["anchor", "k1", "k2", "s0"]))
+    hot = staged.put(distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("anchor"))
+    marks = []
+    if hot.take(1):
+        cold, marks = _split(staged, found, hot, length, anchor, most)
+        found = reduce(DataFrame.unionByName, cold, found.join(hot, "anchor", "left_anti").select(*CONTEXT))
+    marks = reduce(DataFrame.unionByName, marks, _indexed(found, length))
+    marks = marks.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("more"))
+    waiting = passed.filter("n_bytes is null and bytes is null").select("doc_id", "k1", "k2", "text", "spans")
+    waiting = waiting.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "spans", "more")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1 << 22):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from metrolith.llm import common
 from metrolith.llm import op01_line_dedup as op1
 from metrolith.llm import op04_simhash as op4
 from metrolith.llm import op05_repeats as op5
@@ -31,30 +32,62 @@ def corpus(seed=3, n=40):
     return rows
 
 
-def brute_lines(rows, window):
-    first, later = {}, {}
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines = (text or "").split("\n") if text else []
-        w = min(window, len(lines))
-        for i in range(len(lines) - w + 1 if lines else 0):
-            key = (w, tuple(lines[i : i + w]))
-            if key in first:
-                later.setdefault(doc_id, set()).update(range(i, i + w))
-            first.setdefault(key, doc_id)
-    return {d: (len((t or "").split("\n")) if t else 0, len(later.get(d, ())), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in later.get(d, ()))) for d, t in rows}
+def brute_lines(rows, window=op1.WINDOW, words=op1.WORDS):
+    """{(doc_id, text): (lines, removed, kept text)}; rows equal in both are one document."""
 
-
-@pytest.mark.parametrize("window", [1, 2, 3])
-def test_line_dedup(spark, window):
-    rows = corpus()
-    got = {r.doc_id: (r.n_lines, max(0, r.n_removed), r.kept) for r in op1.dedup_lines(spark, frame(spark, rows), window=window).collect()}
-    assert got == brute_lines(rows, window)
+    def windows(lines):
+        out = []
+        for i in range(len(lines)):
+            n = 0
+            while i + n < len(lines) and n < window and (words is None or sum(len(x.encode().split()) for x in lines[i : i + n]) <= words):
+                n += 1
+            if n == window or (words is not None and sum(len(x.encode().split()) for x in lines[i : i + n]) > words):
+                out.append((i, n))
+        return out or ([(0, len(lines))] if lines else [])
+
+    seen, out = set(), {}
+    for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines, gone = (text or "").split("\n") if text else [], set()
+        for i, n in windows(lines):
+            key = tuple(lines[i : i + n])
+            if key in seen:
+                gone |= set(range(i, i + n))
+            seen.add(key)
+        out[doc_id, text] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
 
 
-def test_line_dedup_repeated_rows_and_empty(spark):
-    rows = [(1, "a\nb"), (1, "a\nb"), (2, "a\nb")]
-    got = sorted((r.doc_id, r.kept) for r in op1.dedup_lines(spark, frame(spark, rows)).collect())
-    assert got == [(1, "a\nb"), (1, "a\nb"), (2, "")]
+@pytest.mark.parametrize("broadcast", [32 << 20, -1])
+@pytest.mark.parametrize(("window", "words"), [(1, None), (2, None), (3, 6), (4, 12), (4, 50)])
+def test_line_dedup(spark, monkeypatch, window, words, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    rows = corpus()
+    rows += [(60 + i, "\n".join([f"own {i}", *rows[3][1].split("\n"), f"end {i}"])) for i in range(3)] + [(70, "p q " * 30), (71, "x\n" + "p q " * 30 + "\ny"), (72, "\n" * 9)]
+    expected = brute_lines(rows, window, words)
+    got = {r.doc_id: (r.n_lines, max(0, r.n_removed), r.kept) for r in op1.dedup_lines(spark, frame(spark, rows), window=window, words=words).collect()}
+    assert got == {d: v for (d, _), v in expected.items()}
+    assert any(n for _, n, _ in got.values())
+
+
+def test_line_windows_are_guaranteed_and_few(spark):
+    rnd = random.Random(12)
+    lines = [f"line {i} " + "w " * rnd.randint(0, 30) for i in range(400)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["other", *lines[100:140], "end"]))]
+    prints = op1._fingerprints(frame(spark, rows).selectExpr("doc_id", "1L AS th", "split(text, '\n', -1) AS lines"), op1.WINDOW, op1.WORDS).collect()
+    windows = {(r.doc_id, w.i) for r in prints for w in r.wins}
+    assert len(windows) == sum(len(r.wins) for r in prints) and len(prints) < 0.7 * len(windows)
+    own = {r.print for r in prints if r.doc_id == 1}
+    assert all(r.print in own for r in prints if r.doc_id == 2 and all(1 <= w.i and w.i + w.n <= 41 for w in r.wins))
+
+
+@pytest.mark.parametrize("broadcast", [32 << 20, -1])
+def test_line_dedup_repeated_rows_and_empty(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    rows = [(1, "a\nb"), (1, "a\nb"), (2, "a\nb")] + [(None, "a\nb\nc\nd\ne")] * 300 + [(9, "x\nb\nc\nd\ne"), (None, None)]
+    got = Counter((r.doc_id, r.kept) for r in op1.dedup_lines(spark, frame(spark, rows)).collect())
+    kept = brute_lines(rows)
+    assert got == Counter((d, kept[d, t][2]) for d, t in rows)
+    assert got[1, "a\nb"] == 2 and got[2, ""] == 1 and got[None, "a\nb\nc\nd\ne"] == 300 and got[9, "x"] == 1
     assert op1.dedup_lines(spark, frame(spark, [])).count() == 0
 
 
@@ -64,17 +97,7 @@ def test_long_single_lines(spark):
     pool = [line(n) for n in (5, 50, 51, 51, 80, 300)]
     rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.4 else line(rnd.choice((3, 60))) for _ in range(rnd.randint(1, 5)))) for i in range(60)]
     rows += [(80, pool[4]), (81, line(4) + "\n" + pool[4]), (82, pool[1] + "\n" + line(4)), (None, pool[5] + "\n" + line(4)), (83, None), (84, "a " * 60 + "\n" + "a " * 60)]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, gone = set(), {}
-    for doc_id, text in order:
-        lines = text.split("\n") if text else []
-        keys = [(tuple(lines[i : i + w]), range(i, i + w)) for w in {min(2, len(lines))} if w for i in range(len(lines) - w + 1)]
-        keys += [((x,), range(i, i + 1)) for i, x in enumerate(lines) if len(lines) > 1 and len(x.split()) > 50]
-        for key, at in keys:
-            if key in seen:
-                gone.setdefault(doc_id, set()).update(at)
-            seen.add(key)
-    expected = {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone.get(d, ())) for d, t in rows}
+    expected = {d: v[2] for (d, _), v in brute_lines(rows).items()}
     assert {r.doc_id: r.kept for r in op1.dedup_lines(spark, frame(spark, rows)).collect()} == expected
     assert expected[80] == "" and pool[4] not in expected[81] and pool[1] in expected[82] and pool[5] in expected[None]
 
@@ -160,7 +183,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "anchor", "most"), [(20, 6, 2048), (20, 6, 1), (50, 12, 2048)])
+@pytest.mark.parametrize(("length", "anchor", "most"), [(20, 6, 2048), (20, 6, 1), (20, 6, 3), (50, 12, 2048)])
 def test_repeat_removal(spark, length, anchor, most):
     rows = corpus(9)
     rows += [(500, "xy" * 400), (501, rows[3][1]), (501, rows[3][1]), (502, "é" * 30), (503, rows[4][1][:60] + "+" + rows[5][1][-60:])]
@@ -169,6 +192,25 @@ def test_repeat_removal(spark, length, anchor, most):
     assert 0 < sum(g[2] for g in got) < sum(g[1] for g in got)
 
 
+def test_repeat_removal_splits_hot_anchors(spark):
+    rnd = random.Random(21)
+    some = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    middle, sides = some(14), [some(30) for _ in range(6)]
+    rows = [(i, some(20) + rnd.choice(sides)[rnd.randint(0, 25) :] + middle + rnd.choice(sides)[: rnd.randint(1, 30)] + some(20)) for i in range(120)]
+    rows += [rows[5], (200, rows[7][1]), (None, rows[9][1]), (None, rows[9][1])]
+    for most in (2, 5, 1000):
+        got = sorted((tuple(r) for r in op5.remove_repeats(spark, frame(spark, rows), length=24, anchor=8, most=most).collect()), key=str)
+        assert got == brute_repeats(rows, 24)
+
+
+def test_repeat_removal_of_many_equal_rows(spark):
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abcd ") for _ in range(4000))
+    rows = [(None, text)] * 400 + [(3, text)] * 400 + [(4, text[:2000] + "!"), (5, "?" + text[1000:])]
+    got = Counter(tuple(r)[:4] for r in op5.remove_repeats(spark, frame(spark, rows)).collect())
+    assert got == {(None, 4000, 4000, 1): 400, (3, 4000, 4000, 1): 400, (4, 2001, 2000, 1): 1, (5, 3001, 3000, 1): 1}
+
+
 def test_repeat_removal_of_nothing(spark):
     assert op5.remove_repeats(spark, frame(spark, [])).count() == 0
     assert [tuple(r)[:4] for r in op5.remove_repeats(spark, frame(spark, [(1, None)])).collect()] == [(1, 0, 0, 0)]

@@ -9,8 +9,9 @@ there, each further list is shifted by the term's offset in the phrase, and
 what survives all intersections is an occurrence.  Proximity matches take the
 same rarest list and ask each other term for a posting within `slop` words.
 
-Test items are sent to the executors in blocks of bounded size; texts never
-shuffle, so a hot document, source or phrase burdens no single task.
+Test items are sent to the executors in blocks of bounded size, one after
+another; each block reads the index once.  Texts never shuffle, so a hot
+document, source or phrase burdens no single task.
 
 Defined cases: a null or empty text has no words; an item without words, or
 with a null id, has no windows; an item id that occurs twice counts once;
@@ -21,10 +22,12 @@ Terms are compared by 64-bit hash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,30 +183,48 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> It
         yield packed()
 
 
+def _by_block(spark: SparkSession, index: DataFrame, blocks_of: Iterator[list], search: Callable[[DataFrame, Broadcast], DataFrame]) -> list[DataFrame]:
+    """What search finds, by block of test items. Of several blocks one after another is sent, its result
+    staged and its broadcast freed, so that no more than two blocks are held, whatever the number of items."""
+    block, following = next(blocks_of, []), next(blocks_of, None)
+    if following is None:
+        return [search(index, spark.sparkContext.broadcast(block))]
+    staged = Staged(spark, "op2")
+    if not hasattr(index, "_staged_at"):
+        index = staged.put(index)  # segment numbers must be the same for every block
+    parts = []
+    while block is not None:
+        sent = spark.sparkContext.broadcast(block)
+        parts.append(staged.put(search(index, sent)))
+        sent.destroy()
+        block, following = following, next(blocks_of, None)
+    return parts
+
+
 def matches(spark: SparkSession, index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """Every phrase occurrence of an item's windows; with `slop`, also where all terms of a window stand close."""
-    out = None
-    for block in item_blocks(items, id_col, text_col, window):
-        sent = spark.sparkContext.broadcast(block)  # bounded by BLOCK_WORDS
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    seg = Segment(**batch.slice(i, 1).to_pylist()[0])
-                    for hashes, item, names in sent.value:
-                        ranks = seg.ranks(hashes)
-                        alive = np.flatnonzero((ranks >= 0).all(axis=1))
-                        for kind in ("phrase", "near") if slop is not None else ("phrase",):
-                            w, at = seg.phrases(ranks[alive]) if kind == "phrase" else seg.near(ranks[alive], min(slop, GAP - 1))
-                            doc = seg.document(at)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([seg.doc_ids[d] for d in doc], pa.int64()), pa.array([names[item[alive[x]]] for x in w], pa.string()), pa.array([kind] * len(w), pa.string()), pa.array(at - seg.first[doc], pa.int64()), pa.array(np.full(len(w), hashes.shape[1]), pa.int64())],
-                                names=["doc_id", "item_id", "kind", "first_word", "n_words"],
-                            )
-
-        part = index.mapInArrow(tidied(search), MATCH_SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], MATCH_SCHEMA)
+    return reduce(DataFrame.unionByName, _by_block(spark, index, item_blocks(items, id_col, text_col, window), lambda i, sent: _matched(i, sent, slop)))
+
+
+def _matched(index: DataFrame, sent: Broadcast, slop: int | None) -> DataFrame:
+    """MATCH_SCHEMA of one block."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seg = Segment(**batch.slice(i, 1).to_pylist()[0])
+                for hashes, item, names in sent.value:
+                    ranks = seg.ranks(hashes)
+                    alive = np.flatnonzero((ranks >= 0).all(axis=1))
+                    for kind in ("phrase", "near") if slop is not None else ("phrase",):
+                        w, at = seg.phrases(ranks[alive]) if kind == "phrase" else seg.near(ranks[alive], min(slop, GAP - 1))
+                        doc = seg.document(at)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([seg.doc_ids[d] for d in doc], pa.int64()), pa.array([names[item[alive[x]]] for x in w], pa.string()), pa.array([kind] * len(w), pa.string()), pa.array(at - seg.first[doc], pa.int64()), pa.array(np.full(len(w), hashes.shape[1]), pa.int64())],
+                            names=["doc_id", "item_id", "kind", "first_word", "n_words"],
+                        )
+
+    return index.mapInArrow(tidied(search), MATCH_SCHEMA)
 
 
 def _merged(start: np.ndarray, length: np.ndarray) -> list[int]:
@@ -218,7 +239,7 @@ def _merged(start: np.ndarray, length: np.ndarray) -> list[int]:
     return out
 
 
-def _found(index: DataFrame, sent) -> DataFrame:
+def _found(index: DataFrame, sent: Broadcast) -> DataFrame:
     """Per document row: the hit word spans and the items of one block."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,14 +282,11 @@ def decontaminate(spark: SparkSession, index: DataFrame, items: DataFrame, id_co
     """A row per document row: words, hit words and the items that hit it (RESULT_SCHEMA, and `spans`, the hit
     words); if `keyed`, also `text_hash`, which tells rows of one id apart."""
     key = ["text_hash"] if keyed else []
-    sent = [spark.sparkContext.broadcast(b) for b in item_blocks(items, id_col, text_col, window)] or [spark.sparkContext.broadcast([])]
-    if len(sent) > 1 and not hasattr(index, "_staged_at"):
-        index = Staged(spark, "op2").put(index)  # segment numbers must be the same for every block
-    parts = [_found(index, b) for b in sent]
+    parts = _by_block(spark, index, item_blocks(items, id_col, text_col, window), _found)
     hits = parts[0]
     if len(parts) > 1:  # an item's windows are all in one block; a document's hits may come from several
         for p in parts[1:]:
-            hits = hits.unionByName(p)
+            hits = hits.unionByName(p.filter(F.size("items") > 0))
         hits = hits.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ would leave a bin more than `SLACK` empty, is cut to exactly the next class's si
 the same way.  Rests below the last class go into one running bin that is cut where it is full, and so do
 the unfinished bins of a worker at its end: each worker pads one sequence of its own, whatever the number
 of classes.  Workers fill their bins independently; nothing shuffles and no state but the open bins'
-pieces (at most CLASSES**2, and those of one running bin) is held.
+pieces is held: at most CLASSES**2 / 2, and those of one running bin, each with its own ids alone.
 
 Ids come from a public tokenizer file.  Equal words get equal ids, so each worker remembers the ids of the
 words it has seen (a bounded table); texts with characters outside a range whose handling is plain go to the
@@ -109,7 +109,8 @@ def cuts(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple
 
 
 class Bins:
-    """The open bins of one worker. A piece: (document, start, length); full bins go to `closed`."""
+    """The open bins of one worker. A piece: (document, start, ids), ids being its own alone, 4 bytes each;
+    full bins go to `closed`."""
 
     def __init__(self, capacity: int, classes: int):
         self.capacity, self.open = capacity, [[] for _ in range(classes + 1)]
@@ -122,12 +123,12 @@ class Bins:
                 self.closed.append(self.open[k])
                 self.open[k] = []
             return
-        document, start, length = piece
-        while length:
-            part = min(length, self.capacity - self.used)
-            self.open[0].append((document, start, part))
+        document, start, ids = piece
+        while ids:
+            part = min(len(ids) // 4, self.capacity - self.used)
+            self.open[0].append((document, start, ids[: 4 * part]))
             self.used += part
-            start, length = start + part, length - part
+            start, ids = start + part, ids[4 * part :]
             if self.used == self.capacity:
                 self.closed.append(self.open[0])
                 self.open[0], self.used = [], 0
@@ -157,9 +158,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             out = []
             for bin_ in bins.closed:
                 offset = 0
-                for (doc_id, ids), start, length in bin_:
-                    out.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset))
-                    offset += length
+                for (doc_id, tokens), start, ids in bin_:
+                    out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), tokens, sequence, offset))
+                    offset += len(ids) // 4
                 sequence += 1
             bins.closed = []
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], names=names)
@@ -167,9 +168,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = of.ids(text.as_py() or "") + closing
-                document, at = (doc_id, ids), 0
+                document, at = (doc_id, len(ids) // 4), 0
                 for length, k in cuts(len(ids) // 4, capacity, classes):
-                    bins.put((document, at, length), k)
+                    bins.put((document, at, ids[4 * at : 4 * (at + length)]), k)
                     at += length
             if bins.closed:
                 yield rows()

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from metrolith.llm.common import narrow, read, tidied
 
 CHUNK = 256
+PAD = 256  # beside the 256 bytes
 WIDTH = 5
 DEPTH = 8
 FILTERS = 16
@@ -39,16 +40,16 @@ REJECT_WEIGHT = 4.0
 
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks of the texts, a row of bytes each (0 past a text's end), and each chunk's text."""
+    """All chunks of the texts, a row of bytes each (PAD past a text's end), and each chunk's text."""
     counts = np.array([-(-len(t) // CHUNK) for t in texts], np.int64)
     of = np.repeat(np.arange(len(texts)), counts)
-    out = np.zeros((len(of), CHUNK + WIDTH - 1), np.uint8)
+    out = np.full((len(of), CHUNK + WIDTH - 1), PAD, np.uint16)
     at = 0
     for text, n in zip(texts, counts.tolist(), strict=True):
         if n:
-            line = np.zeros(n * CHUNK + WIDTH - 1, np.uint8)
+            line = np.full(n * CHUNK + WIDTH - 1, PAD, np.uint16)
             line[: len(text)] = np.frombuffer(text, np.uint8)
-            out[at : at + n] = np.lib.stride_tricks.as_strided(line, (n, CHUNK + WIDTH - 1), (CHUNK, 1))
+            out[at : at + n] = np.lib.stride_tricks.as_strided(line, (n, CHUNK + WIDTH - 1), (2 * CHUNK, 2))
             at += n
     return out, of
 
@@ -67,8 +68,7 @@ class Network:
     def tables(self) -> np.ndarray:
         """Each byte's contribution to each filter, by tap."""
         t = np.einsum("bd,wdf->wbf", self.p["embed"], self.p["taps"])
-        t[:, 0, :] = 0  # padding
-        return np.ascontiguousarray(t)
+        return np.concatenate([t, np.zeros((WIDTH, 1, FILTERS), t.dtype)], axis=1)  # padding adds nothing
 
     def pooled(self, rows: np.ndarray, tables: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Each filter's largest activation in each chunk; with `where`, also its position."""
@@ -148,7 +148,7 @@ class Network:
         d_embed, d_taps = np.zeros_like(p["embed"]), np.zeros_like(p["taps"])
         for tap in range(WIDTH):
             byte = rows[row, place + tap]
-            real = byte > 0
+            real = byte != PAD
             np.add.at(d_embed, byte[real], g[real, None] * p["taps"][tap][:, filt[real]].T)
             sums = np.zeros((FILTERS, DEPTH), np.float32)
             np.add.at(sums, filt[real], g[real, None] * p["embed"][byte[real]])
@@ -163,23 +163,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Network | None:
-    """A network fitted to at most `rows` labelled rows that are not held out, and to the first of them that
-    together hold TRAIN_BYTES; None if there are none."""
+    """A network fitted to at most `rows` different labelled rows that are not held out, and to the first of
+    them that together hold TRAIN_BYTES, so that neither many nor long rows of one id reach the driver; None if
+    there are none."""
     known = narrow(labels, doc_id=id_col, label=label_col).filter("doc_id is not null and label is not null")
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     sample = F.broadcast(known)  # at most `rows` rows of two numbers
-    found = narrow(docs, doc_id=id_col, text=text_col).join(sample, "doc_id").select("doc_id", "label", "text")
+    texts_of = narrow(docs, doc_id=id_col, text=text_col).join(sample, "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("th"))
+    # First without texts: an id may have any number of rows, of which copies count once.
+    order = [F.xxhash64("doc_id"), "doc_id", "th", "label"]
+    found = texts_of.groupBy("doc_id", "th", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy(*order).limit(rows)
+    chosen, held = [], 0
+    for row in found.collect():  # at most `rows` rows of four numbers
+        if held + row.n <= TRAIN_BYTES:
+            held += row.n
+            chosen.append((row.doc_id, row.th, float(row.label)))
+    if not chosen:
+        return None
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(chosen, "doc_id bigint, th bigint, label double")
     texts: list[bytes] = []
-    marks: list[int] = []
-    held = 0
-    for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
-        data = (row.text or "").encode()
-        if held + len(data) > TRAIN_BYTES:
-            continue
-        held += len(data)
-        texts.append(data)
+    marks: list[float] = []
+    picked = texts_of.withColumn("label", F.col("label").cast("double")).join(F.broadcast(wanted), ["doc_id", "th", "label"]).dropDuplicates(["doc_id", "th", "label"])
+    for row in picked.orderBy(*order).toLocalIterator():  # at most TRAIN_BYTES of text
+        texts.append((row.text or "").encode())
         marks.append(row.label)
-    return Network().fit(texts, np.array(marks, np.float32)) if texts else None
+    return Network().fit(texts, np.array(marks, np.float32))
 
 
 def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,12 +1,14 @@
 """Decontamination, quality, URLs, licences, personal data and packing, with their edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
 
+from metrolith.llm import common
 from metrolith.llm import op02_decontamination as op2
 from metrolith.llm import op03_quality as op3
 from metrolith.llm import op07_url_filter as op7
@@ -101,10 +103,45 @@ def test_quality_network_learns_and_differentiates():
 
 
 def test_chunks_cover_the_whole_text():
-    text = bytes(range(1, 250)) * 5
+    text = bytes(range(256)) * 5
     rows, of = op3.chunks([b"", text, b"x"])
     assert of.tolist() == [1] * -(-len(text) // op3.CHUNK) + [2]
-    assert b"".join(r[: op3.CHUNK].tobytes() for r in rows[of == 1]).rstrip(b"\0") == text
+    covered = rows[of == 1][:, : op3.CHUNK].ravel()
+    assert bytes(covered[covered != op3.PAD].tolist()) == text
+    assert (rows[of == 1][:-1, op3.CHUNK :] == rows[of == 1][1:, : op3.WIDTH - 1]).all()
+
+
+def test_scores_against_a_plain_convolution():
+    rng = np.random.default_rng(4)
+    net = op3.Network(8)
+    net.p["shift"] += rng.normal(0, 0.3, op3.FILTERS).astype(np.float32)
+    texts = [b"", b"x", b"\0\0", "é word ".encode() * 9, bytes(rng.integers(0, 256, 256).tolist()), bytes(rng.integers(0, 256, 1031).tolist())]
+    for text, score in zip(texts, net.scores(texts, net.tables()), strict=True):
+        pooled = []
+        for a in range(0, len(text), op3.CHUNK):
+            best = np.full(op3.FILTERS, -np.inf)
+            for i in range(a, a + op3.CHUNK):
+                sums = np.zeros(op3.FILTERS)
+                for tap in range(op3.WIDTH):
+                    if i + tap < len(text):
+                        sums += net.p["embed"][text[i + tap]].astype(float) @ net.p["taps"][tap].astype(float)
+                best = np.maximum(best, sums)
+            pooled.append(np.maximum(best + net.p["shift"], 0))
+        features = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) if pooled else np.zeros(2 * op3.FILTERS)
+        assert abs(score - 1 / (1 + np.exp(-(features @ net.p["out"] + net.p["bias"][0])))) < 1e-4
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op3.Network, "fit", lambda self, texts, labels: seen.append((sorted(texts), labels)) or self)
+    rows = [(1, "same text")] * 50 + [(1, f"one id, text {i}") for i in range(40)] + [(2, "z" * 900), (3, None), (None, "n")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (9, 1)], "doc_id bigint, quality int")
+    monkeypatch.setattr(op3, "held_out", lambda c: c.isNull())
+    op3.train(frame(spark, rows), labels, rows=20)
+    assert len(seen[0][0]) == 20 and len(seen[0][1]) == 20
+    monkeypatch.setattr(op3, "TRAIN_BYTES", 100)
+    op3.train(frame(spark, rows), labels)
+    assert 0 < sum(map(len, seen[1][0])) <= 100 and b"z" * 900 not in seen[1][0]
 
 
 def test_quality_edge_cases(spark):
@@ -161,6 +198,33 @@ def test_url_filter(spark):
     assert op7.train(spark, spark.createDataFrame([], "label int, url string"))[0] < 0
 
 
+def test_url_scores_against_a_plain_regression(spark):
+    """The same descent over explicit feature vectors; only the buckets come from the operator's hash."""
+    labelled = spark.createDataFrame(op7.LABELLED, "label int, url string")
+    pages = spark.createDataFrame([(i, u) for i, u in URLS if i != 1] + [(100 + i, u) for i, (_, u) in enumerate(op7.LABELLED)], "page_id bigint, url string")
+
+    def vectors(df):
+        from pyspark.sql import functions as F
+
+        rows = df.select(*df.columns, op7.grams(*op7.parts(F.col("url"))).alias("g")).collect()
+        x = np.zeros((len(rows), op7.BUCKETS))
+        for r, row in enumerate(rows):
+            for b in row.g:
+                x[r, b] += 1 / len(row.g)
+        return rows, x
+
+    rows, x = vectors(labelled)
+    y, w, bias = np.array([r.label for r in rows], float), np.zeros(op7.BUCKETS), 0.0
+    for _ in range(op7.ITERATIONS):
+        error = 1 / (1 + np.exp(-(op7.SCALE * x @ w + bias))) - y
+        w = (1 - op7.RATE * op7.DECAY) * w - op7.RATE * x.T @ error / len(y)
+        bias = (1 - op7.RATE * op7.DECAY) * bias - op7.RATE * error.mean()
+    rows, x = vectors(pages)
+    expected = {r.page_id: 1 / (1 + np.exp(-(op7.SCALE * v @ w + bias))) for r, v in zip(rows, x, strict=True)}
+    got = {r.page_id: r.score for r in op7.judge(pages, *op7.train(spark, labelled)).collect()}
+    assert all(abs(got[k] - v) < 1e-6 for k, v in expected.items())
+
+
 def test_url_regression_fits_its_table(spark):
     pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(op7.LABELLED)], "page_id bigint, url string")
     got = {r.page_id: r.score for r in op7.judge(pages, *op7.train(spark, spark.createDataFrame(op7.LABELLED, "label int, url string")), rules=()).collect()}
@@ -265,6 +329,48 @@ def test_disclosing_terms(spark):
     assert "<email>" in clean[2] and "boss@" not in clean[2] and clean[12] == rows[6][1]
 
 
+def brute_terms(rows, support, disclosed):
+    """{row: folded terms that disclose an entity}, counted document by document."""
+    fold = lambda t: t.replace("İ", "I").lower()
+    texts = [t or "" for _, t in rows]
+    entities = [{f"{s.split(':')[0]}:{fold(t[int(s.split(':')[1]):int(s.split(':')[2])])}" for s in brute_spans(t)} for t in texts]
+    terms = [set(re.findall("[A-Za-z\x80-\U0010ffff]{3,}", fold(t))) for t in texts]
+    n, bad = len(rows), set()
+    for e in set().union(*entities):
+        has = [i for i in range(n) if e in entities[i]]
+        if len({texts[i] for i in has}) < support or len(has) == n:
+            continue
+        for term in set().union(*(terms[i] for i in has)):
+            both = [i for i in has if term in terms[i]]
+            if len({texts[i] for i in both}) >= support:
+                of_term = sum(term in t for t in terms)
+                if np.log2(len(both) * n / (of_term * len(has))) / np.log2(n / len(has)) >= disclosed:
+                    bad.add(term)
+    return [t & bad for t in terms]
+
+
+@pytest.mark.parametrize("broadcast", [32 << 20, -1])
+def test_disclosing_terms_against_counts(spark, monkeypatch, broadcast):
+    """Planted pairs of a name and an address, and common words: every disclosing term is found, no other."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    rnd = random.Random(3)
+    plain = [f"wort{c}" for c in "abcdefgh"] + ["İstanbul", "Straße", "ΣΟΦΟΣ"]
+    rows = []
+    for i in range(90):
+        text = [rnd.choice(plain) for _ in range(6)]
+        who = rnd.randint(0, 11)
+        if who < 6:
+            text += [f"name{'xyzuvw'[who]}{'İ' * (who % 2)}q", f"u{who}@ex.org"] if rnd.random() < 0.9 else [f"NAME{'xyzuvw'[who]}q"]
+        rnd.shuffle(text)
+        rows.append((i if i % 9 else None, " ".join(text)))
+    rows += [(200, rows[0][1]), (200, rows[0][1]), (201, None), (202, "")]
+    expected = sorted(((i, sorted(t)) for (i, _), t in zip(rows, brute_terms(rows, 3, 0.9), strict=True)), key=str)
+    fold = lambda t: t.replace("İ", "I").lower()
+    got = sorted(((r.doc_id, sorted({fold(s.value) for s in r.terms})) for r in op9.find_pii(spark, frame(spark, rows), disclosed=0.9).collect()), key=str)
+    assert got == expected
+    assert len({t for _, ts in got for t in ts}) >= 5 and not any(t.startswith(("wort", "stra")) for _, ts in got for t in ts)
+
+
 def test_cuts_partition_every_length():
     for n in [1, 2, 255, 256, 257, 1000, 2047, 2048, 4095, 4096, 4097, 9999, 12288, 100_000]:
         pieces = op10.cuts(n)

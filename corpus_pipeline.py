@@ -84,7 +84,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = Staged(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    made = len(Staged.made)
+    docs, last = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = staged.put(stage(spark, docs, sf_dir))
+        Staged.release(made)  # the stage's result is written: what it staged on its way, and its input, may go
+        if last is not None:
+            staged.drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from metrolith.functions.held import held
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,7 +19,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def constant_map(values: dict, of: str) -> Column:
     """A map as one literal of the plan; `of` is the type of its values."""
-    return F.from_json(F.lit(json.dumps(values)), f"map<string,{of}>")
+    text = json.dumps(values)
+    return held((of, text), lambda: F.from_json(F.lit(text), f"map<string,{of}>"))
 
 
 def constant_lookup(values: dict, of: str, key: Column) -> Column:
@@ -28,10 +30,14 @@ def constant_lookup(values: dict, of: str, key: Column) -> Column:
     map from its first entry to its last.
     """
     n = max(1, len(values) // 8)
-    buckets: list[dict] = [{} for _ in range(n)]
-    for k, v in values.items():
-        buckets[zlib.crc32(k.encode()) % n][k] = v
-    table = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{of}>>")
+
+    def dealt() -> Column:
+        buckets: list[dict] = [{} for _ in range(n)]
+        for k, v in values.items():
+            buckets[zlib.crc32(k.encode()) % n][k] = v
+        return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{of}>>")
+
+    table = held(("lookup", of, json.dumps(values)), dealt)
     return let(key, lambda x: F.try_element_at(F.get(table, F.pmod(F.crc32(x.cast("binary")), F.lit(n)).cast("int")), x))
 
 

@@ -5,8 +5,9 @@ The shapes of quantities are regular expressions over a sentence's letters; each
 rows, and value, bound, unit and concept are column expressions over the matched token ranges.  Units are
 looked up in the catalog's table of forms, a constant of the package and one literal of the plan.
 
-Rows are dropped at the very end only, after an explode: a filter further down would have its condition
-pushed below the projections and so computed twice, and the optimizer would reason about it at length.
+What a row needs for its public columns goes through one explode as a struct; rows that are no quantities
+are dropped there.  A condition on a public column can then be pushed down to that explode and no further, so
+the expressions before it stand in the plan once; a condition on the ids reaches the scan.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from metrolith.functions import bounds, ignore, numbers, textnorm, tokens
 from metrolith.functions.catalog import AMBIGUOUS, CUES, FORMS, lookup
+from metrolith.functions.held import held
 from metrolith.functions.lexicon import BROAD, FRACTIONS, MODEL_MARKS, NAME_EXEMPT, NAME_MARKS, NUMBER_WORDS, SCALES, UNIT_BLACKLIST
 from metrolith.functions.spans import SPANS, constant_map, let, located, placed
 
@@ -83,36 +85,47 @@ def _sentences(text: Column) -> Column:
 
 
 def tokenized(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ()) -> DataFrame:
-    """(ids.., sent_no, base, words, toks, code): a row per sentence that may hold numbers; toks are
+    """(ids.., sent_no, base, toks, code): a row per sentence that may hold numbers; toks are
     (start, end, text) in the sentence, base is the sentence's place in the normalized text."""
     ids = [F.col(f"`{c}`") for c in id_cols]
-    text = F.col(f"`{text_col}`")
-    out = df.filter(may_hold_numbers(text)).select(*ids, textnorm.normalize(text).alias("_norm"))
-    out = out.select(*ids, F.posexplode_outer(_sentences(F.col("_norm"))).alias("sent_no", "_sent"))
-    out = out.select(*ids, "sent_no", F.col("_sent.start").alias("base"), tokens.tokens(ignore.mask(F.col("_sent.text"))).alias("toks"))
-    return out.select(*ids, "sent_no", "base", "toks", tokens.classes(F.col("toks")).alias("code"))
+    out = df.select(*ids, F.col(f"`{text_col}`").alias("_text")).filter(held("may", lambda: may_hold_numbers(F.col("_text"))))
+    out = out.select(*ids, held("norm", lambda: textnorm.normalize(F.col("_text")).alias("_norm")))
+    out = out.select(*ids, held("sentences", lambda: F.posexplode_outer(_sentences(F.col("_norm"))).alias("sent_no", "_sent")))
+    out = out.select(*ids, "sent_no", *held("toks", lambda: [F.col("_sent.start").alias("base"), tokens.tokens(ignore.mask(F.col("_sent.text"))).alias("toks")]))
+    return out.select(*ids, "sent_no", "base", "toks", held("code", lambda: tokens.classes(F.col("toks")).alias("code")))
 
 
 def chunked(sentences: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
     """A row for each value of each chunk: its shape, the chunk's token range [from, to), where each role's
     tokens stand (at_<role>, n_<role>) and where the value's own do (a_at, a_n); `plain` is the sentence's code
     without any chunk's tokens."""
-    ids = [F.col(f"`{c}`") for c in id_cols]
-    kept = [*ids, "sent_no", "base", "toks", "code", "plain"]
-    out = sentences.select(*kept[:-1], F.regexp_extract_all("code", F.lit(CHUNK), F.lit(0)).alias("hits"), F.split("code", CHUNK, -1).alias("gaps"))
-    plain = F.array_join(F.zip_with("gaps", "hits", lambda gap, hit: F.concat(gap, F.repeat(F.lit("z"), F.coalesce(F.length(hit), F.lit(0))))), "")
-    out = out.select(*kept[:-1], placed(F.col("hits"), F.col("gaps")).alias("spans"), plain.alias("plain"))
-    out = out.select(*kept, F.explode_outer("spans").alias("c"))
-    out = out.select(*kept, F.col("c.start").alias("from"), F.col("c.end").alias("to"), F.col("c.text").alias("chunk"), _shape(F.col("c.text")).alias("shape"))
-    out = out.select(*kept, "from", "to", "chunk", "shape", _lengths(F.col("shape"), F.col("chunk")).alias("n"))
-    sums = F.transform("n", lambda _, i: F.col("from") + F.aggregate(F.slice("n", F.lit(1), i), F.lit(0), lambda a, b: a + b))
-    out = out.select(*kept, "from", "to", "chunk", "shape", "n", sums.alias("at"))
-    places = [F.get("n", F.lit(i)).alias(f"n_{r}") for i, r in enumerate(ROLES)] + [F.get("at", F.lit(i)).alias(f"at_{r}") for i, r in enumerate(ROLES)]
-    out = out.select(*kept, "from", "to", "chunk", "shape", *places)
-    group = F.substr("code", F.col("at_1") + 1, F.col("n_1"))
-    values = F.when(F.col("shape").isin(*_MULTIPLE), located(group, _VALUE)).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.col("n_1").alias("end"), F.lit("").alias("text"))).cast(SPANS))
-    out = out.withColumn("value", F.explode_outer(values))
-    return out.withColumn("a_at", F.col("at_1") + F.col("value.start")).withColumn("a_n", F.col("value.end") - F.col("value.start")).drop("value")
+    kept = [*[f"`{c}`" for c in id_cols], "sent_no", "base", "toks", "code", "plain"]
+    out = sentences.select(*kept[:-1], *held("hits", lambda: [F.regexp_extract_all("code", F.lit(CHUNK), F.lit(0)).alias("hits"), F.split("code", CHUNK, -1).alias("gaps")]))
+
+    def spans() -> list[Column]:
+        plain = F.array_join(F.zip_with("gaps", "hits", lambda gap, hit: F.concat(gap, F.repeat(F.lit("z"), F.coalesce(F.length(hit), F.lit(0))))), "")
+        return [placed(F.col("hits"), F.col("gaps")).alias("spans"), plain.alias("plain")]
+
+    def roles() -> list[Column]:
+        sums = F.transform("n", lambda _, i: F.col("from") + F.aggregate(F.slice("n", F.lit(1), i), F.lit(0), lambda a, b: a + b))
+        return [F.col("n"), sums.alias("at")]
+
+    def places() -> list[Column]:
+        return [F.get("n", F.lit(i)).alias(f"n_{r}") for i, r in enumerate(ROLES)] + [F.get("at", F.lit(i)).alias(f"at_{r}") for i, r in enumerate(ROLES)]
+
+    def values() -> Column:
+        group = F.substr("code", F.col("at_1") + 1, F.col("n_1"))
+        alone = F.array(F.struct(F.lit(0).alias("start"), F.col("n_1").alias("end"), F.lit("").alias("text"))).cast(SPANS)
+        return F.explode_outer(F.when(F.col("shape").isin(*_MULTIPLE), located(group, _VALUE)).otherwise(alone)).alias("value")
+
+    out = out.select(*kept[:-1], *held("spans", spans))
+    out = out.select(*kept, held("chunks", lambda: F.explode_outer("spans").alias("c")))
+    out = out.select(*kept, *held("shape", lambda: [F.col("c.start").alias("from"), F.col("c.end").alias("to"), F.col("c.text").alias("chunk"), _shape(F.col("c.text")).alias("shape")]))
+    out = out.select(*kept, "from", "to", "chunk", "shape", held("lengths", lambda: _lengths(F.col("shape"), F.col("chunk")).alias("n")))
+    out = out.select(*kept, "from", "to", "chunk", "shape", *held("roles", roles))
+    out = out.select(*kept, "from", "to", "chunk", "shape", *held("places", places))
+    out = out.select("*", held("values", values))
+    return out.select("*", *held("own", lambda: [(F.col("at_1") + F.col("value.start")).alias("a_at"), (F.col("value.end") - F.col("value.start")).alias("a_n")])).drop("value")
 
 
 def _sides(shape: Column) -> tuple[Column, Column]:
@@ -172,16 +185,8 @@ def _concepts(toks: Column, code: Column, plain: Column, start: Column, end: Col
     )
 
 
-def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ()) -> DataFrame:
-    """A row for each quantity of each text.
-
-    ids.., sent_no, ord (place of the number in the normalized text), change, kind (value or range), value,
-    lower, upper, unit_surface, unit_norm (`-` for none), unit_scientific, unit_keys, concepts, in_bracket,
-    value_spans, unit_spans (places in the normalized text), sci, sci_short, one_of.
-    Texts that are null, empty or without numbers give no rows.
-    """
-    ids = [F.col(f"`{c}`") for c in id_cols]
-    rows = chunked(tokenized(df, text_col, id_cols), id_cols)
+def _roles() -> list[Column]:
+    """The words of each role of a value, and what stands before and behind its chunk."""
     toks, code, shape = F.col("toks"), F.col("code"), F.col("shape")
     low = lambda a: F.transform(a, F.lower)
     unit_at, unit_n = F.when(F.col("n_w") > 0, F.col("at_w")).otherwise(F.col("at_u")), F.when(F.col("n_w") > 0, F.col("n_w")).otherwise(F.col("n_u"))
@@ -189,9 +194,8 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
     other = F.substr(code, F.col("at_d") + 1, F.col("n_d"))
     inner = F.when(shape == "shared", F.instr(F.substr(code, F.col("at_1") + 1, F.col("n_1")), "c")).otherwise(0)
     c_at = F.when(F.instr(signs, "c") > 0, F.col("at_c") + F.instr(signs, "c") - 1).when(F.instr(other, "c") > 0, F.col("at_d") + F.instr(other, "c") - 1).when(inner > 0, F.col("at_1") + inner - 1).otherwise(-1)
-    carried = [*ids, "sent_no", "base", "toks", "code", "plain", "from", "to", "shape", "a_at", "a_n", "at_2", "n_2", "at_b", "n_b", "at_p", "n_p"]
-    rows = rows.select(
-        *carried,
+    return [
+        *[F.col(c) for c in _CARRIED],
         unit_at.alias("at_u"),
         unit_n.alias("n_u"),
         c_at.alias("at_c"),
@@ -200,97 +204,142 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
         low(_texts(toks, F.col("a_at"), F.col("a_n"))).alias("a_words"),
         low(_texts(toks, F.col("at_2"), F.col("n_2"))).alias("z_words"),
         bounds.change(_texts(toks, F.col("at_b"), F.col("n_b"))).alias("change"),
-        F.filter(_texts(toks, unit_at, unit_n), lambda w: ~w.isin("-", "–")).alias("u_words"),
+        F.filter(_texts(toks, unit_at, unit_n), lambda w: ~w.isin("-", "–")).alias("own_words"),
         F.filter(_texts(toks, F.col("at_p") + 1, F.col("n_p") - 1), lambda w: w != "-").alias("p_words"),
         _text(toks, c_at).alias("c_word"),
         _text(toks, F.col("from") - 1).alias("previous"),
         F.when(F.col("from") > 0, F.substr(code, F.col("from"), F.lit(1))).alias("previous_class"),
         _text(toks, F.col("to")).alias("next"),
         F.substr(code, F.col("to") + 1, F.lit(1)).alias("next_class"),
-    )
+    ]
+
+
+def _numbers() -> list[Column]:
     scales = constant_map(BROAD, "double")
     broad = F.aggregate(F.filter("a_words", lambda w: w != "of"), F.lit(1.0), lambda acc, w: acc * F.coalesce(F.try_element_at(scales, w), F.lit(1.0)))
     tail = lambda c: F.get(c, F.size(c) - 1)
-    rows = rows.select("*", numbers.number(F.col("a_words")).alias("one"), numbers.number(F.col("z_words")).alias("two"), numbers.scale(tail(F.col("a_words"))).alias("a_scale"), numbers.scale(tail(F.col("z_words"))).alias("z_scale"), broad.alias("broad"))
-    lower, upper = _sides(shape)
+    return [numbers.number(F.col("a_words")).alias("one"), numbers.number(F.col("z_words")).alias("two"), numbers.scale(tail(F.col("a_words"))).alias("a_scale"), numbers.scale(tail(F.col("z_words"))).alias("z_scale"), broad.alias("broad")]
+
+
+def _ends() -> list[Column]:
+    lower, upper = _sides(F.col("shape"))
     # `12 m users`: m is million and the next noun the unit.
-    is_m = (F.get("u_words", F.lit(0)) == "m") & (F.size("u_words") == 1) & F.col("next_class").isin("n", "N") & F.col("c_word").isNull()
-    rows = rows.select("*", lower.alias("low"), upper.alias("high"), F.coalesce(is_m, F.lit(False)).alias("may_m"))
-    rows = rows.withColumn("is_m", F.coalesce(F.col("may_m") & (F.col("high") - F.col("low") <= 100), F.lit(False)))
+    is_m = (F.get("own_words", F.lit(0)) == "m") & (F.size("own_words") == 1) & F.col("next_class").isin("n", "N") & F.col("c_word").isNull()
+    return [lower.alias("low"), upper.alias("high"), F.coalesce(is_m, F.lit(False)).alias("may_m")]
+
+
+def _signed() -> list[Column]:
     million = F.when(F.col("is_m"), 1e6).otherwise(1.0)
-    rows = rows.withColumns(
-        {
-            "lower": F.col("low") * million * F.when(F.col("minus"), -1.0).otherwise(1.0),
-            "upper": F.col("high") * million * F.when(F.col("minus") & ~shape.isin("between", "range"), -1.0).otherwise(1.0),
-            "u_words": F.when(F.col("is_m"), F.array("next")).otherwise(F.col("u_words")),
-        }
-    )
+    return [
+        (F.col("low") * million * F.when(F.col("minus"), -1.0).otherwise(1.0)).alias("lower"),
+        (F.col("high") * million * F.when(F.col("minus") & ~F.col("shape").isin("between", "range"), -1.0).otherwise(1.0)).alias("upper"),
+        F.when(F.col("is_m"), F.array("next")).otherwise(F.col("own_words")).alias("u_words"),
+    ]
+
 
-    # Unit: the currency before the number, else the words after it; `a/b` and `a per b` have two sides.
-    rows = rows.withColumn("u_last", F.get("u_words", F.size("u_words") - 1))
-    rows = rows.withColumn("slash", F.coalesce(F.col("u_last").contains("/") & F.col("c_word").isNull(), F.lit(False)))
+def _unit_texts() -> list[Column]:
+    """The two sides of a unit as texts: the currency before the number, else the words after it; `a/b` and
+    `a per b` have a right side."""
     last, slash = F.col("u_last"), F.col("slash")
     whole = F.when(F.size("u_words") > 0, F.array_join("u_words", " "))
-    rows = rows.withColumns(
-        {
-            "left_text": F.when(F.col("c_word").isNotNull(), F.replace("c_word", F.lit(" "), F.lit(""))).when(slash, F.split_part(last, F.lit("/"), F.lit(1))).otherwise(whole),
-            "left_last": F.when(F.col("c_word").isNull() & ~slash, last),
-            "right_text": F.when(slash, F.split_part(last, F.lit("/"), F.lit(2))).when(F.size("p_words") > 0, F.array_join("p_words", " ")),
-            "right_last": F.get("p_words", F.size("p_words") - 1),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "left": resolved([F.col("left_text"), F.lower("left_text"), F.col("left_last"), tokens.singular(F.col("left_last"))], F.col("words")),
-            "right": resolved([F.col("right_text"), tokens.singular(F.col("right_text")), tokens.singular(F.col("right_last"))], F.col("words")),
-        }
-    )
-    rows = rows.withColumns({"left_norm": F.col("left.n"), "left_key": F.col("left.k"), "right_norm": F.col("right.n"), "right_key": F.col("right.k")})
+    return [
+        F.when(F.col("c_word").isNotNull(), F.replace("c_word", F.lit(" "), F.lit(""))).when(slash, F.split_part(last, F.lit("/"), F.lit(1))).otherwise(whole).alias("left_text"),
+        F.when(F.col("c_word").isNull() & ~slash, last).alias("left_last"),
+        F.when(slash, F.split_part(last, F.lit("/"), F.lit(2))).when(F.size("p_words") > 0, F.array_join("p_words", " ")).alias("right_text"),
+        F.get("p_words", F.size("p_words") - 1).alias("right_last"),
+    ]
+
+
+def _units() -> list[Column]:
+    return [
+        resolved([F.col("left_text"), F.lower("left_text"), F.col("left_last"), tokens.singular(F.col("left_last"))], F.col("words")).alias("left"),
+        resolved([F.col("right_text"), tokens.singular(F.col("right_text")), tokens.singular(F.col("right_last"))], F.col("words")).alias("right"),
+    ]
 
+
+def _norms() -> list[Column]:
     noun = F.when(F.col("left_text").isNotNull(), F.array_join(F.transform(F.split("left_text", " "), tokens.singular), " "))
     right_norm = F.coalesce("right_norm", tokens.singular(F.col("right_text")))
-    scientific = F.col("left_norm").isNotNull() | (slash & F.col("left_text").isNotNull())
+    scientific = F.col("left_norm").isNotNull() | (F.col("slash") & F.col("left_text").isNotNull())
     base_norm = F.coalesce("left_norm", noun)
     norm = F.when(base_norm.isNotNull() & right_norm.isNotNull(), F.concat_ws(" per ", base_norm, right_norm)).otherwise(base_norm)
     black = F.coalesce(F.exists("u_words", lambda w: w.isin(*UNIT_BLACKLIST)), F.lit(False)) & F.col("left_norm").isNull()
     unit = F.when(black, F.lit("-")).otherwise(F.coalesce(norm, F.lit("-")))
-    unit = F.when((shape == "fraction") & ~F.coalesce(F.col("left_norm").isNotNull(), F.lit(False)), F.concat(F.lit("% "), unit)).otherwise(unit)
-    rows = rows.withColumn("unit_norm", unit).withColumn("unit_scientific", F.coalesce(scientific, F.lit(False)) & ~black)
+    unit = F.when((F.col("shape") == "fraction") & ~F.coalesce(F.col("left_norm").isNotNull(), F.lit(False)), F.concat(F.lit("% "), unit)).otherwise(unit)
+    return [unit.alias("unit_norm"), (F.coalesce(scientific, F.lit(False)) & ~black).alias("unit_scientific")]
+
 
+def _kept() -> Column:
+    """The rest of the row, in one struct of an array, for those rows that are quantities."""
     # Names with numbers (`phone 11 is`), models (`11 Pro`), codes for units.
-    bare = (F.col("unit_norm") == "-") & (F.col("change") == "=") & (shape == "single")
+    bare = (F.col("unit_norm") == "-") & (F.col("change") == "=") & (F.col("shape") == "single")
     named = bare & F.coalesce(F.col("previous_class").isin("n", "N"), F.lit(False)) & ~F.lower("previous").isin(*NAME_EXEMPT) & ~F.col("previous").rlike("ed$") & ~F.col("minus")
     marked = F.coalesce(F.col("previous").isin(*NAME_MARKS), F.lit(False)) | F.coalesce(F.col("next").isin(*MODEL_MARKS), F.lit(False)) | F.exists("u_words", lambda w: w.isin(*MODEL_MARKS))
-    coded = ~F.col("unit_scientific") & F.col("unit_norm").rlike("[0-9]") & (shape != "one_of")
+    coded = ~F.col("unit_scientific") & F.col("unit_norm").rlike("[0-9]") & (F.col("shape") != "one_of")
     kept = F.col("lower").isNotNull() & ~(F.coalesce(named, F.lit(False)) | marked | coded)
+    return F.explode_outer(F.when(kept, F.array(F.struct(*_LAST)))).alias("q")
+
 
-    span = lambda at, n: F.when((at >= 0) & (n > 0), F.struct((F.col("base") + F.get(toks, at)["start"]).alias("start"), (F.col("base") + F.get(toks, at + n - 1)["end"]).alias("end")))
+def _public() -> list[Column]:
+    q = {c: F.col("q")[c] for c in _LAST}
+    toks, code, shape, base = q["toks"], q["code"], q["shape"], q["base"]
+    none = F.array().cast("array<string>")
+    span = lambda at, n: F.when((at >= 0) & (n > 0), F.struct((base + F.get(toks, at)["start"]).alias("start"), (base + F.get(toks, at + n - 1)["end"]).alias("end")))
     spans = lambda *s: F.filter(F.array(*s), lambda x: x.isNotNull())
-    opened = F.length(F.regexp_replace(F.substr(code, F.lit(1), F.col("from")), r"[^(]", "")) > F.length(F.regexp_replace(F.substr(code, F.lit(1), F.col("from")), r"[^)]", ""))
-    ranged = F.col("lower") != F.col("upper")
-    keys = F.filter(F.array("left_key", "right_key"), lambda k: k.isNotNull())
-    surface = F.filter(F.flatten(F.array(F.when(F.col("c_word").isNotNull(), F.array("c_word")).otherwise(F.col("u_words")), F.when(F.size("p_words") > 0, F.concat(F.array(_text(toks, F.col("at_p"))), F.col("p_words"))).otherwise(F.array().cast("array<string>")))), lambda w: w.isNotNull())
-    concepts = F.when(shape == "one_of", F.array().cast("array<string>")).otherwise(_concepts(toks, code, F.col("plain"), F.col("from"), F.col("to"), F.col("at_b"), F.col("n_b")))
-    # The condition alone goes through the explode, so that columns nobody selects are never computed.
-    rows = rows.select("*", F.explode_outer(F.when(kept, F.array(F.lit(True)))).alias("_kept")).filter("_kept")
-    return rows.select(
-        *ids,
-        "sent_no",
-        (F.col("base") + F.get(toks, F.col("a_at"))["start"]).alias("ord"),
-        F.col("change"),
+    before = F.substr(code, F.lit(1), q["from"])
+    opened = F.length(F.regexp_replace(before, r"[^(]", "")) > F.length(F.regexp_replace(before, r"[^)]", ""))
+    ranged = q["lower"] != q["upper"]
+    keys = F.filter(F.array(q["left_key"], q["right_key"]), lambda k: k.isNotNull())
+    own = F.when(q["c_word"].isNotNull(), F.array(q["c_word"])).otherwise(q["u_words"])
+    per = F.when(F.size(q["p_words"]) > 0, F.concat(F.array(_text(toks, q["at_p"])), q["p_words"])).otherwise(none)
+    concepts = F.when(shape == "one_of", none).otherwise(_concepts(toks, code, q["plain"], q["from"], q["to"], q["at_b"], q["n_b"]))
+    return [
+        F.col("sent_no"),
+        (base + F.get(toks, q["a_at"])["start"]).alias("ord"),
+        q["change"].alias("change"),
         F.when(ranged | shape.isin("between", "range", "broad"), "range").otherwise("value").alias("kind"),
-        F.when(~ranged, F.col("lower")).alias("value"),
-        F.col("lower"),
-        F.col("upper"),
-        surface.alias("unit_surface"),
-        F.col("unit_norm"),
-        F.col("unit_scientific"),
+        F.when(~ranged, q["lower"]).alias("value"),
+        q["lower"].alias("lower"),
+        q["upper"].alias("upper"),
+        F.filter(F.flatten(F.array(own, per)), lambda w: w.isNotNull()).alias("unit_surface"),
+        q["unit_norm"].alias("unit_norm"),
+        q["unit_scientific"].alias("unit_scientific"),
         keys.alias("unit_keys"),
         concepts.alias("concepts"),
         opened.alias("in_bracket"),
-        spans(span(F.col("a_at"), F.col("a_n")), span(F.col("at_2"), F.col("n_2"))).alias("value_spans"),
-        spans(span(F.col("at_c"), F.lit(1)), F.when(F.col("c_word").isNull() & ~F.col("is_m"), span(F.col("at_u"), F.col("n_u"))), span(F.col("at_p"), F.col("n_p"))).alias("unit_spans"),
-        F.when(~ranged, numbers.notation(F.col("lower"))).otherwise(F.concat_ws("-", numbers.notation(F.col("lower")), numbers.notation(F.col("upper")))).alias("sci"),
-        F.when(~ranged, numbers.short_notation(F.col("lower"))).otherwise(F.concat_ws("-", numbers.short_notation(F.col("lower")), numbers.short_notation(F.col("upper")))).alias("sci_short"),
+        spans(span(q["a_at"], q["a_n"]), span(q["at_2"], q["n_2"])).alias("value_spans"),
+        spans(span(q["at_c"], F.lit(1)), F.when(q["c_word"].isNull() & ~q["is_m"], span(q["at_u"], q["n_u"])), span(q["at_p"], q["n_p"])).alias("unit_spans"),
+        F.when(~ranged, numbers.notation(q["lower"])).otherwise(F.concat_ws("-", numbers.notation(q["lower"]), numbers.notation(q["upper"]))).alias("sci"),
+        F.when(~ranged, numbers.short_notation(q["lower"])).otherwise(F.concat_ws("-", numbers.short_notation(q["lower"]), numbers.short_notation(q["upper"]))).alias("sci_short"),
         (shape == "one_of").alias("one_of"),
-    )
+    ]
+
+
+_CARRIED = ("sent_no", "base", "toks", "code", "plain", "from", "to", "shape", "a_at", "a_n", "at_2", "n_2", "at_b", "n_b", "at_p", "n_p")
+#: What the public columns are made of.
+_LAST = (*_CARRIED[1:], "at_u", "n_u", "at_c", "c_word", "u_words", "p_words", "is_m", "change", "lower", "upper", "unit_norm", "unit_scientific", "left_key", "right_key")
+
+
+def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ()) -> DataFrame:
+    """A row for each quantity of each text.
+
+    ids.., sent_no, ord (place of the number in the normalized text), change, kind (value or range), value,
+    lower, upper, unit_surface, unit_norm (`-` for none), unit_scientific, unit_keys, concepts, in_bracket,
+    value_spans, unit_spans (places in the normalized text), sci, sci_short, one_of.
+    Texts that are null, empty or without numbers give no rows.
+    """
+    own = [f"_id{i}" for i in range(len(id_cols))]
+    texts = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(id_cols, own, strict=True)], F.col(f"`{text_col}`").alias("_text"))
+    rows = chunked(tokenized(texts, "_text", own), own).select(*own, *held("x roles", _roles))
+    rows = rows.select("*", *held("x numbers", _numbers))
+    rows = rows.select("*", *held("x ends", _ends))
+    rows = rows.select("*", held("x is_m", lambda: F.coalesce(F.col("may_m") & (F.col("high") - F.col("low") <= 100), F.lit(False)).alias("is_m")))
+    rows = rows.select("*", *held("x signed", _signed))
+    rows = rows.select("*", held("x last", lambda: F.get("u_words", F.size("u_words") - 1).alias("u_last")))
+    rows = rows.select("*", held("x slash", lambda: F.coalesce(F.col("u_last").contains("/") & F.col("c_word").isNull(), F.lit(False)).alias("slash")))
+    rows = rows.select("*", *held("x texts", _unit_texts))
+    rows = rows.select("*", *held("x units", _units))
+    rows = rows.select("*", *held("x sides", lambda: [F.col(f"{side}.{f}").alias(f"{side}_{name}") for side in ("left", "right") for f, name in (("n", "norm"), ("k", "key"))]))
+    rows = rows.select("*", *held("x norms", _norms))
+    rows = rows.select(*own, "sent_no", held("x kept", _kept)).filter("q is not null")
+    return rows.select(*[F.col(i).alias(c) for c, i in zip(id_cols, own, strict=True)], *held("x public", _public))

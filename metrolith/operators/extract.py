@@ -320,6 +320,16 @@ _CARRIED = ("sent_no", "base", "toks", "code", "plain", "from", "to", "shape", "
 _LAST = (*_CARRIED[1:], "at_u", "n_u", "at_c", "c_word", "u_words", "p_words", "is_m", "change", "lower", "upper", "unit_norm", "unit_scientific", "left_key", "right_key")
 
 
+def normalized(rows: DataFrame) -> DataFrame:
+    """Adds the unit of rows with u_words, p_words, c_word, words and shape."""
+    rows = rows.select("*", held("x last", lambda: F.get("u_words", F.size("u_words") - 1).alias("u_last")))
+    rows = rows.select("*", held("x slash", lambda: F.coalesce(F.col("u_last").contains("/") & F.col("c_word").isNull(), F.lit(False)).alias("slash")))
+    rows = rows.select("*", *held("x texts", _unit_texts))
+    rows = rows.select("*", *held("x units", _units))
+    rows = rows.select("*", *held("x sides", lambda: [F.col(f"{side}.{f}").alias(f"{side}_{name}") for side in ("left", "right") for f, name in (("n", "norm"), ("k", "key"))]))
+    return rows.select("*", *held("x norms", _norms))
+
+
 def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ()) -> DataFrame:
     """A row for each quantity of each text.
 
@@ -335,11 +345,6 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
     rows = rows.select("*", *held("x ends", _ends))
     rows = rows.select("*", held("x is_m", lambda: F.coalesce(F.col("may_m") & (F.col("high") - F.col("low") <= 100), F.lit(False)).alias("is_m")))
     rows = rows.select("*", *held("x signed", _signed))
-    rows = rows.select("*", held("x last", lambda: F.get("u_words", F.size("u_words") - 1).alias("u_last")))
-    rows = rows.select("*", held("x slash", lambda: F.coalesce(F.col("u_last").contains("/") & F.col("c_word").isNull(), F.lit(False)).alias("slash")))
-    rows = rows.select("*", *held("x texts", _unit_texts))
-    rows = rows.select("*", *held("x units", _units))
-    rows = rows.select("*", *held("x sides", lambda: [F.col(f"{side}.{f}").alias(f"{side}_{name}") for side in ("left", "right") for f, name in (("n", "norm"), ("k", "key"))]))
-    rows = rows.select("*", *held("x norms", _norms))
+    rows = normalized(rows)
     rows = rows.select(*own, "sent_no", held("x kept", _kept)).filter("q is not null")
     return rows.select(*[F.col(i).alias(c) for c, i in zip(id_cols, own, strict=True)], *held("x public", _public))

@@ -1,16 +1,18 @@
 """Dependency rules over supplied parses: each rule is a small tree pattern over the tokens of a text.
 
 Input is a token table (doc_id, i, text, lemma, pos, dep, head); i counts a document's tokens from 0 and head
-is the index of a token's governor (its own for a root).  A rule names its tokens, constrains their
-attributes, and relates each to an earlier one.  Relations: `>` the new token is governed by the earlier,
-`<` it governs it, `>>` and `<<` the same over up to MAX_DEPTH (8) heads, `.` it stands directly behind, `;` directly before,
-`$+` it is the next sibling to the right.
-
-Tokens are gathered once into a row for each document (a sentence or a few), one exchange on doc_id; all
-rules are then self-joins of that array within the row, so the number of rules adds no shuffle.
-
-Matches are rows (doc_id, family, rule, priority, toks); earlier families take precedence.  A document
-without tokens, or with none that fit, gives no rows.
+is the index of a token's governor (its own for a root).  A table with a column `sent` is matched sentence by
+sentence; heads then stay within their sentence.  A rule names its tokens, constrains their attributes, and
+relates each to an earlier one.  Relations: `>` the new token is governed by the earlier, `<` it governs it,
+`>>` and `<<` the same over any number of heads, `.` it stands directly behind, `;` directly before, `$+` it is
+the next sibling to the right.
+
+Tokens are gathered once into a row for each sentence (or document), one exchange; all rules are then
+self-joins of that array within the row, so the number of rules adds no shuffle.  The expressions are built
+once for each JVM.
+
+Matches are rows (doc_id, sent, family, rule, priority, toks); earlier families take precedence.  A document
+without tokens, or with none that fit, gives no rows; heads outside the sentence govern nothing.
 """
 
 from __future__ import annotations
@@ -21,10 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metrolith.functions.held import held
 from metrolith.functions.lexicon import BROAD, FRACTIONS, NUMBER_WORDS, SCALES, pattern
 
-MAX_DEPTH = 8
-
 # The rules. Family, then: token, relation to an earlier token, that token, [attributes].
 # Attributes: p= part of speech, d= dependency, t= text (!= negates), digit, notdigit, scale, notscale, number.
 _NOUN, _MOD, _ADV = "p=PROPN,NOUN", "d=quantmod,amod,compound,nummod,nmod,advmod,npadvmod", "p=ADJ,SCONJ,ADV,PART,ADP,DET"
@@ -142,43 +143,67 @@ def _name(tests: tuple[str, ...]) -> str:
     return "fits " + ";".join(tests)
 
 
-def gathered(tokens: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """A row per document: heads, left siblings, ancestors, and for each set of tests the tokens that pass it."""
-    low = F.lower("text")
-    token = F.struct(
-        "i", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("pos", F.lit("")).alias("pos"), F.coalesce("dep", F.lit("")).alias("dep"), "head",
-        F.coalesce(F.col("text").rlike("^[0-9]+$"), F.lit(False)).alias("digit"), F.coalesce(low.rlike(pattern([*SCALES, *BROAD])), F.lit(False)).alias("scale"),
-        F.coalesce(low.rlike(pattern(_NUMBERS)) | F.col("text").rlike("^[0-9][0-9.,]*$"), F.lit(False)).alias("like_number"),
-    )
-    rows = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("toks"))
+def keys(tokens: DataFrame) -> list[str]:
+    return [c for c in ("doc_id", "sent") if c in tokens.columns]
+
+
+def in_rows(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sent if there, base, toks): a row per sentence or document; base is its first token's index, and
+    in toks both i and head count from there."""
+    token = F.struct("i", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lemma", "pos", "dep")], "head")
+    rows = tokens.groupBy(*keys(tokens)).agg(F.array_sort(F.collect_list(token)).alias("toks"))
+    rows = rows.select(*keys(tokens), F.get("toks", F.lit(0))["i"].alias("base"), "toks")
+    return rows.withColumn("toks", F.transform("toks", lambda t: t.withField("i", t["i"] - F.col("base")).withField("head", t["head"] - F.col("base"))))
+
+
+def _facts() -> list[Column]:
+    """Of each token what the tests ask for."""
+
+    def fact(t: Column) -> Column:
+        low = F.lower(t["text"])
+        number = low.rlike(pattern(_NUMBERS)) | t["text"].rlike("^[0-9][0-9.,]*$")
+        return F.struct(t["text"].alias("text"), t["pos"].alias("pos"), t["dep"].alias("dep"), t["text"].rlike("^[0-9]+$").alias("digit"), low.rlike(pattern([*SCALES, *BROAD])).alias("scale"), number.alias("like_number"))
+
     heads = F.transform("toks", lambda t: t["head"])
-    rows = rows.select("doc_id", "toks", heads.alias("heads"), F.sequence(F.lit(0), F.size("toks") - 1).alias("all"))
+    return [F.transform("toks", fact).alias("facts"), heads.alias("heads"), F.sequence(F.lit(0), F.size("toks") - 1).alias("all")]
+
+
+def _kin() -> list[Column]:
+    """Of each token its next sibling to the left, and all its governors, near and far."""
 
     def left_of(i: Column) -> Column:
         head = F.get("heads", i)
         return F.array_max(F.filter("all", lambda j: (j < i) & (F.get("heads", j) == head) & (j != head) & (i != head)))
 
-    def above(i: Column) -> Column:
-        start = F.struct(i.alias("at"), F.array().cast("array<int>").alias("seen"))
+    # Each round doubles the reach: a token's governors and theirs. A circle of heads adds nothing new.
+    near = F.transform("all", lambda i: F.filter(F.array(F.get("heads", i)), lambda h: (h != i) & h.between(0, F.size("all") - 1)))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("all") + 1)).cast("int"))
+    more = lambda above: F.transform(above, lambda own: F.array_distinct(F.concat(own, F.flatten(F.transform(own, lambda h: F.get(above, h))))))
+    above = F.aggregate(rounds, near, lambda above, _: more(above))
+    return [F.col("heads"), F.transform("all", left_of).alias("left"), F.transform(above, lambda own, i: F.array_remove(own, i)).alias("above")]
 
-        def step(acc: Column, _: Column) -> Column:
-            up = F.get("heads", acc["at"])
-            new = up.isNotNull() & (up != acc["at"]) & ~F.array_contains(acc["seen"], up)
-            return F.struct(F.when(new, up).otherwise(acc["at"]).alias("at"), F.when(new, F.array_append(acc["seen"], up)).otherwise(acc["seen"]).alias("seen"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start, step, lambda acc: acc["seen"])
+def _passing(rules: tuple[Rule, ...]) -> list[Column]:
+    """For each set of tests the tokens that pass it."""
 
     def passing(tests: tuple[str, ...]) -> Column:
         def all_of(i: Column) -> Column:
-            ok = F.lit(True)
+            t, ok = F.get("facts", i), F.lit(True)
             for test in tests:
-                ok = ok & _test(test, F.get("toks", i))
+                ok = ok & _test(test, t)
             return ok
 
         return F.filter("all", all_of)
 
-    sets = dict.fromkeys(node.tests for rule in rules for node in rule.nodes)
-    return rows.select("doc_id", "heads", F.transform("all", left_of).alias("left"), F.transform("all", above).alias("above"), *[passing(t).alias(_name(t)) for t in sets])
+    return [passing(t).alias(_name(t)) for t in dict.fromkeys(node.tests for rule in rules for node in rule.nodes)]
+
+
+def gathered(tokens: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per sentence: heads, left siblings, governors, and for each set of tests the tokens that pass it."""
+    rows = in_rows(tokens)
+    kept = [*keys(tokens), "base", *keep]
+    rows = rows.select(*kept, *held("facts", _facts))
+    return rows.select(*kept, *held("kin", _kin), *held(("passing", rules), lambda: _passing(rules)))
 
 
 def _matched(rule: Rule) -> Column:
@@ -213,18 +238,24 @@ def _matched(rule: Rule) -> Column:
     return out
 
 
-def match_all(tokens: DataFrame, rules: tuple[Rule, ...] = REGISTERED) -> DataFrame:
-    """(doc_id, family, rule, priority, toks) of every rule."""
-    found = []
-    for rule in rules:
-        family = FAMILIES.index(rule.family) if rule.family in FAMILIES else len(FAMILIES)
-        found.append(_named(rule, family))
-    out = gathered(tokens, rules).select("doc_id", F.flatten(F.array(*found)).alias("found"))
-    return out.select("doc_id", F.explode_outer("found").alias("m")).filter("m is not null").select("doc_id", "m.*")
+def _found(rules: tuple[Rule, ...]) -> Column:
+    def named(rule: Rule) -> Column:
+        priority = FAMILIES.index(rule.family) if rule.family in FAMILIES else len(FAMILIES)
+        return F.transform(_matched(rule), lambda toks: F.struct(F.lit(rule.family).alias("family"), F.lit(rule.name).alias("rule"), F.lit(priority).alias("priority"), toks.alias("toks")))
 
+    return F.flatten(F.array(*map(named, rules))).alias("found")
 
-def _named(rule: Rule, priority: int) -> Column:
-    return F.transform(_matched(rule), lambda toks: F.struct(F.lit(rule.family).alias("family"), F.lit(rule.name).alias("rule"), F.lit(priority).alias("priority"), toks.alias("toks")))
+
+def in_row_matches(tokens: DataFrame, rules: tuple[Rule, ...] = REGISTERED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sent if there, base, the kept columns of in_rows(), found): a row per sentence with its matches,
+    whose toks count from base."""
+    return gathered(tokens, rules, keep).select(*keys(tokens), "base", *keep, held(("found", rules), lambda: _found(rules)))
+
+
+def match_all(tokens: DataFrame, rules: tuple[Rule, ...] = REGISTERED) -> DataFrame:
+    """(doc_id, sent if there, family, rule, priority, toks) of every rule."""
+    out = in_row_matches(tokens, rules).select(*keys(tokens), "base", F.explode_outer("found").alias("m")).filter("m is not null")
+    return out.select(*keys(tokens), "m.family", "m.rule", "m.priority", F.transform("m.toks", lambda t: t + F.col("base")).alias("toks"))
 
 
 def flags(tokens: DataFrame, matches: DataFrame) -> DataFrame:

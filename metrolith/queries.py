@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith import api
+from metrolith import api, rule_examples
 from metrolith.functions import bounds, ignore, numbers, textnorm, tokens
 from metrolith.functions.lexicon import NUMBER_WORDS
 from metrolith.functions.spans import BETWEEN_COMMAS, BRACKETS, inside, located
 from metrolith.operators import clauses as clause_ops
-from metrolith.operators import rendering, rules
+from metrolith.operators import parsed, rendering, rules
 from metrolith.operators.extract import extract, tokenized
 from metrolith.plans import reports
 from metrolith.streaming import streams
@@ -527,12 +527,20 @@ def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "t.i", "t.text", F.col("t.text").alias("lemma"), "t.pos", "t.dep", "t.head")
 
 
-_RULE_HITS = [("noun_num", "1,0"), ("noun_num", "5,4"), ("lonely_num", "0"), ("lonely_num", "4"), ("num_quantmod", "4,3"), ("quantmod_direct_num", "4,3"), ("noun_num_quant", "5,4,3")]
+_EXAMPLES = rule_examples.examples()
 
 
-@query("SELECT o_orderkey AS doc_id, rule, toks FROM orders, (" + sql_values(_RULE_HITS, "rule, toks") + ") WHERE true")
+def example_parses(spark: SparkSession, sf_dir: str, by: int = 1) -> DataFrame:
+    """For every by-th order one of the example parses: a smallest one for each rule, or a whole sentence."""
+    rows = [(k, i, t, t, p, d, h) for k, toks in enumerate(_EXAMPLES) for i, t, p, d, h in toks]
+    known = spark.createDataFrame(rows, "parse int, i int, text string, lemma string, pos string, dep string, head int")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % len(_EXAMPLES)).cast("int").alias("parse"))
+    return orders.join(F.broadcast(known), "parse").drop("parse")
+
+
+@query(rule_examples.matches_sql(rules.REGISTERED, _EXAMPLES) + f" SELECT o_orderkey AS doc_id, rule, toks FROM orders JOIN hits ON parse = o_orderkey % {len(_EXAMPLES)}")
 def dependency_rules(spark, sf_dir):
-    return rules.match_all(parses(spark, sf_dir)).select("doc_id", "rule", F.concat_ws(",", F.col("toks").cast("array<string>")).alias("toks"))
+    return rules.match_all(example_parses(spark, sf_dir)).select("doc_id", "rule", F.concat_ws(",", F.col("toks").cast("array<string>")).alias("toks"))
 
 
 @query("SELECT o_orderkey AS doc_id, anchor, toks FROM orders, (VALUES (0, '0,1'), (3, '3,4,5')) AS v(anchor, toks)")
@@ -547,9 +555,58 @@ def rule_flags(spark, sf_dir):
     return rules.flags(p, rules.match_all(p)).select("doc_id", "i", "number", "bound", "unit")
 
 
-@query("SELECT rule, count(*) AS n FROM orders, (" + sql_values(_RULE_HITS, "rule, toks") + ") GROUP BY rule")
+_UNREGISTERED = tuple(r for r in rules.RULES if r.family == "-")
+
+
+@query(rule_examples.matches_sql(rules.RULES, _EXAMPLES) + f" SELECT rule, count(*) AS n FROM orders JOIN hits ON parse = o_orderkey % {len(_EXAMPLES)} GROUP BY rule")
 def rules_unregistered(spark, sf_dir):
-    return rules.match_all(parses(spark, sf_dir), rules.RULES).groupBy("rule").agg(F.count("*").alias("n"))
+    """All rules, with those that do not run by default."""
+    return rules.match_all(example_parses(spark, sf_dir), rules.RULES).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS doc_id, k AS sent, 0 AS first_tok, count(*) AS n FROM orders, (VALUES (0), (1)) AS s(k) WHERE o_orderkey % 3 = 0 GROUP BY ALL")
+def rules_by_sentence(spark, sf_dir):
+    """A governor of forty heads away, over two sentences of a document: `>>` holds over any depth."""
+    n = 40
+    rows = [(s, s * n + i, t, p, d, s * n + max(0, i - 1)) for s in (0, 1) for i, (t, p, d) in enumerate([("boxes", "NOUN", "ROOT"), ("5", "NUM", "nummod"), *[("so", "X", "dep")] * (n - 3), ("about", "ADV", "advmod")])]
+    chain = spark.createDataFrame([(s, i, t, t, p, d, h) for s, i, t, p, d, h in rows], "sent int, i int, text string, lemma string, pos string, dep string, head int")
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"))
+    m = rules.match_all(orders.join(F.broadcast(chain)), tuple(r for r in rules.REGISTERED if r.name == "noun_num_quant"))
+    return m.groupBy("doc_id", "sent").agg((F.min(F.col("toks")[0]) - F.col("sent") * n).alias("first_tok"), F.count("*").alias("n"))
+
+
+_PARSED = [  # sentence, anchor, change, kind, lower, upper, unit, concepts; {a}, {b}, {c} are numbers of the order
+    ("cost", 0, "=", "value", "a", "a", "box", ""), ("cost", 4, "~", "value", "b", "b", "dollar", "boxes"), ("range", 2, "=", "range", "a", "c", "box", ""),
+    ("between", 3, "=", "range", "a", "c", "percentage", "Prices"), ("broad", 0, "=", "range", "100", "1000", "part", ""), ("fraction", 0, "=", "value", "0.25", "0.25", "% -", ""), ("one_of", 0, "=", "value", "1", "1", "box", ""),
+    ("per", 2, "=", "value", "b", "b", "barrel per day", ""), ("money", 4, "=", "value", "b", "b", "dollar", "parking"), ("fell", 5, "down", "value", "a", "a", "percentage", "oil price"), ("minus", 3, "=", "value", "-a", "-a", "degree", ""),
+    ("spelled", 2, "=", "value", "200", "200", "people", ""), ("phone", 8, "=", "value", "a", "a", "cup", ""), ("shared", 2, "=", "value", "a", "a", "euro", ""), ("shared", 4, "=", "value", "c", "c", "euro", ""),
+    ("bracket", 3, "=", "value", "a", "a", "kilogram", "load"), ("bracket", 6, "=", "value", "b", "b", "pound-mass", "load"),
+]
+_PARSE_NAMES = list(rule_examples.SENTENCES)
+
+
+def sentence_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order a parsed sentence with numbers of its own."""
+    rows = [(_PARSE_NAMES.index(n), i, t, p, d, h) for n in _PARSE_NAMES for i, t, p, d, h in rule_examples.sentence(n)]
+    known = spark.createDataFrame(rows, "parse int, i int, text string, pos string, dep string, head int")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % len(_PARSE_NAMES)).cast("int").alias("parse"))
+    t = orders.join(F.broadcast(known), "parse")
+    number = F.when(F.col("text") == "{a}", F.col("doc_id") % 90 + 1).when(F.col("text") == "{b}", F.col("doc_id") % 400 + 10).when(F.col("text") == "{c}", F.col("doc_id") % 90 + 4)
+    return t.withColumn("text", F.coalesce(number.cast("string"), F.col("text"))).select("doc_id", "i", "text", F.col("text").alias("lemma"), "pos", "dep", "head")
+
+
+def _parsed_sql() -> str:
+    n = lambda x: {"a": "o_orderkey % 90 + 1", "b": "o_orderkey % 400 + 10", "c": "o_orderkey % 90 + 4", "-a": "-(o_orderkey % 90 + 1)"}.get(x, x)
+    return " UNION ALL ".join(
+        f"SELECT o_orderkey AS doc_id, {anchor} AS anchor, '{change}' AS change, '{kind}' AS kind, CAST({n(lo)} AS DOUBLE) AS lower, CAST({n(hi)} AS DOUBLE) AS upper, '{unit}' AS unit_norm, '{concept}' AS concept FROM orders WHERE o_orderkey % {len(_PARSE_NAMES)} = {_PARSE_NAMES.index(name)}"
+        for name, anchor, change, kind, lo, hi, unit, concept in _PARSED
+    )
+
+
+@query(_parsed_sql())
+def quantities_of_parses(spark, sf_dir):
+    q = parsed.parsed_quantities(sentence_parses(spark, sf_dir))
+    return q.select("doc_id", "anchor", "change", "kind", "lower", "upper", "unit_norm", F.array_join("concepts", " ").alias("concept"))
 
 
 # -- reports, training, streams

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from metrolith.functions import bounds, numbers, textnorm, tokens
 from metrolith.functions.catalog import AMBIGUOUS, CATALOG, CUES, FORMS, catalog_frame, forms_frame
+from metrolith.functions.held import held
+from metrolith.operators.clauses import with_shared_units
 from metrolith.operators.extract import extract, resolved
+from metrolith.operators.parsed import parsed_quantities
 from metrolith.operators.rendering import normalized_text, surface_forms
 from metrolith.operators.rules import candidates, flags, match_all
 
-__all__ = ["AMBIGUOUS", "CATALOG", "CUES", "FORMS", "bounds", "candidates", "catalog_frame", "disambiguate", "extract", "flags", "forms_frame", "match_all", "normalize_units", "normalized_text", "numbers", "register", "surface_forms", "textnorm", "tokens"]
+__all__ = ["AMBIGUOUS", "CATALOG", "CUES", "FORMS", "bounds", "candidates", "catalog_frame", "disambiguate", "extract", "flags", "forms_frame", "match_all", "normalize_units", "normalized_text", "numbers", "register", "parsed_quantities", "surface_forms", "textnorm", "tokens", "with_shared_units", "with_surface_forms"]
 
 
 def normalize_units(df: DataFrame, form_col: str, text_col: str | None = None) -> DataFrame:
@@ -34,19 +37,14 @@ def disambiguate(df: DataFrame, form_col: str, text_col: str) -> DataFrame:
 
 
 def register(spark: SparkSession, texts: DataFrame | None = None, view: str = "quantities", text_col: str = "text", id_cols: tuple[str, ...] = ()) -> None:
-    """SQL surface: the table function extract_numbers(text), and, given texts, a view of their quantities."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="ord: int, surface: string, value: double")
-    class ExtractNumbers:
-        """Plain numerals of a text, for lateral joins in SQL; the view has all shapes."""
-
-        def eval(self, text: str):
-            import re
-
-            for m in re.finditer(r"[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?", text or ""):
-                yield m.start(), m[0], float(m[0].replace(",", ""))
-
-    spark.udtf.register("extract_numbers", ExtractNumbers)
+    """SQL surface: a view of the quantities of the texts, by the engine's own plan; conditions and joins on it
+    are planned with it. Without texts, a view of the unit catalog's forms alone (`unit_forms`)."""
+    forms_frame(spark).createOrReplaceTempView("unit_forms")
     if texts is not None:
         extract(texts, text_col, id_cols).createOrReplaceTempView(view)
+
+
+def with_surface_forms(quantities: DataFrame) -> DataFrame:
+    """Adds unit_forms, the names and symbols of each of the quantity's catalog units."""
+    forms = F.map_from_entries(F.array(*[F.struct(F.lit(u.key).alias("k"), F.array(*[F.lit(x) for x in dict.fromkeys([*u.surfaces, *u.symbols])]).alias("v")) for u in CATALOG]))
+    return quantities.withColumn("unit_forms", F.transform("unit_keys", lambda k: F.try_element_at(held("catalog forms", lambda: forms), k)))

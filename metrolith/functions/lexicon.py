@@ -87,6 +87,7 @@ DURATIONS = ("year", "month", "week", "day", "second", "minute", "hour", "daily"
 NAME_MARKS = ("GMT", "index", "Max")
 MODEL_MARKS = ("Max", "Pro", "Mini")
 NAME_EXEMPT = ("age", "between", "than", "from")
+DATE_WORDS = ("in", "since", "until", "during", "the", "early", "late", "mid", *(m.lower() for m in MONTHS))
 UNIT_BLACKLIST = ("low", "high", "am")
 
 # SI and IEC prefixes.

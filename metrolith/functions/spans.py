@@ -77,10 +77,5 @@ def _masked(text: Column, pattern: str, mark: str) -> Column:
     return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
-def inside(at: Column, spans: Column) -> Column:
-    """Whether a place lies in one of the spans: a range join within the row."""
-    return F.exists(spans, lambda s: (s["start"] <= at) & (at < s["end"]))
-
-
 BRACKETS = r"\([^()]*\)"
 BETWEEN_COMMAS = r",[^,]*,"

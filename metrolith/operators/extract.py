@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from metrolith.functions import bounds, ignore, numbers, textnorm, tokens
 from metrolith.functions.catalog import AMBIGUOUS, CUES, FORMS, lookup
 from metrolith.functions.held import held
-from metrolith.functions.lexicon import BROAD, FRACTIONS, MODEL_MARKS, NAME_EXEMPT, NAME_MARKS, NUMBER_WORDS, SCALES, UNIT_BLACKLIST
+from metrolith.functions.lexicon import BROAD, DATE_WORDS, FRACTIONS, MODEL_MARKS, NAME_EXEMPT, NAME_MARKS, NUMBER_WORDS, SCALES, UNIT_BLACKLIST
 from metrolith.functions.spans import SPANS, constant_map, let, located, placed
+from metrolith.operators.clauses import clauses
 
 _BOUND = "(?:q?b[tqo]?(?:q?b[tqo]?)?q?)?"
 _VALUE = "(?:ds*|fis+|f|i?s+|w[ws]*sAw(?![wsd])|w[wsd]*)"
@@ -233,7 +234,7 @@ def _signed() -> list[Column]:
     return [
         (F.col("low") * million * F.when(F.col("minus"), -1.0).otherwise(1.0)).alias("lower"),
         (F.col("high") * million * F.when(F.col("minus") & ~F.col("shape").isin("between", "range"), -1.0).otherwise(1.0)).alias("upper"),
-        F.when(F.col("is_m"), F.array("next")).otherwise(F.col("own_words")).alias("u_words"),
+        F.when(F.col("is_m"), F.array("next")).otherwise(once(F.col("own_words"))).alias("u_words"),
     ]
 
 
@@ -250,9 +251,23 @@ def _unit_texts() -> list[Column]:
     ]
 
 
+def any_known(unit: Column) -> Column:
+    """Of a unit's words the first two as one (`US $`), else the first that the catalog knows, as it is or
+    singular; null if there is none."""
+    first_two = F.when(F.size(unit) > 2, F.concat(F.get(unit, F.lit(0)), F.get(unit, F.lit(1))))
+    tried = F.filter(F.concat(F.array(first_two), unit, F.transform(unit, tokens.singular)), lambda w: w.isNotNull())
+    return F.get(F.filter(tried, lambda w: lookup(w).isNotNull()), F.lit(0))
+
+
+def once(unit: Column) -> Column:
+    """A unit's words without the last if that is the first again (`dollars 5 dollars` around a number)."""
+    return F.when((F.size(unit) > 1) & (F.get(unit, F.lit(0)) == F.get(unit, F.size(unit) - 1)), F.slice(unit, F.lit(1), F.size(unit) - 1)).otherwise(unit)
+
+
 def _units() -> list[Column]:
+    wide = F.when((F.size("u_words") > 1) & F.col("c_word").isNull() & ~F.col("slash"), any_known(F.col("u_words")))
     return [
-        resolved([F.col("left_text"), F.lower("left_text"), F.col("left_last"), tokens.singular(F.col("left_last"))], F.col("words")).alias("left"),
+        resolved([F.col("left_text"), F.lower("left_text"), F.col("left_last"), tokens.singular(F.col("left_last")), wide], F.col("words")).alias("left"),
         resolved([F.col("right_text"), tokens.singular(F.col("right_text")), tokens.singular(F.col("right_last"))], F.col("words")).alias("right"),
     ]
 
@@ -276,12 +291,29 @@ def _kept() -> Column:
     named = bare & F.coalesce(F.col("previous_class").isin("n", "N"), F.lit(False)) & ~F.lower("previous").isin(*NAME_EXEMPT) & ~F.col("previous").rlike("ed$") & ~F.col("minus")
     marked = F.coalesce(F.col("previous").isin(*NAME_MARKS), F.lit(False)) | F.coalesce(F.col("next").isin(*MODEL_MARKS), F.lit(False)) | F.exists("u_words", lambda w: w.isin(*MODEL_MARKS))
     coded = ~F.col("unit_scientific") & F.col("unit_norm").rlike("[0-9]") & (F.col("shape") != "one_of")
-    kept = F.col("lower").isNotNull() & ~(F.coalesce(named, F.lit(False)) | marked | coded)
-    return F.explode_outer(F.when(kept, F.array(F.struct(*_LAST)))).alias("q")
+    # `the battery 2024 ..  2024 battery`: the unit stands before the same number elsewhere, as a name does.
+    own = F.concat_ws(" ", F.lit(""), "u_words", "a_words", F.lit(""))
+    echoed = ~F.col("unit_scientific") & (F.col("shape") == "single") & (F.size("u_words") > 0) & F.contains(F.concat_ws(" ", F.lit(""), "words", F.lit("")), F.lower(own))
+    # Parts of dates (`the 2019 season`) and street numbers (`5 Old Oak Road`) count only with a unit of the catalog.
+    year = (F.size("a_words") == 1) & F.get("a_words", F.lit(0)).rlike("^(?:19|20)[0-9]{2}$") & F.lower("previous").isin(*DATE_WORDS)
+    road = F.substr("code", F.col("at_u") + 1, F.lit(3)).rlike("^(?:NN[nN]|N[nN]N|[nN]NN)") & F.col("c_word").isNull()
+    street = road & F.forall(F.slice("toks", F.greatest(F.col("at_u"), F.lit(0)) + 1, F.lit(3)), lambda t: F.length(t["text"]) > 2)
+    considered = ~F.col("unit_scientific") & (F.col("shape") == "single") & (F.col("n_u") > 0) & (F.coalesce(year, F.lit(False)) | F.coalesce(street, F.lit(False)))
+    kept = F.col("lower").isNotNull() & ~(F.coalesce(named, F.lit(False)) | marked | coded | F.coalesce(echoed, F.lit(False)) | considered)
+    return F.explode_outer(F.when(kept, F.array(F.struct(*_LAST)))).alias("_q")
+
+
+def _clause() -> tuple[Column, Column, Column]:
+    """Number of the clause in which a value ends, its class letters, and the tokens behind the value in it."""
+    at = F.col("_q.a_at") + F.col("_q.a_n") - 1
+    parts = clauses(F.col("_q.code"))
+    number = let(parts, lambda ps: F.size(F.filter(ps, lambda p: p["hi"] < at)))
+    own = let(parts, lambda ps: F.get(F.filter(ps, lambda p: p["hi"] >= at), F.lit(0)))
+    return number, let(own, lambda p: F.substr(F.col("_q.code"), p["lo"] + 1, p["hi"] - p["lo"] + 1)), own["hi"] - at
 
 
 def _public() -> list[Column]:
-    q = {c: F.col("q")[c] for c in _LAST}
+    q = {c: F.col("_q")[c] for c in _LAST}
     toks, code, shape, base = q["toks"], q["code"], q["shape"], q["base"]
     none = F.array().cast("array<string>")
     span = lambda at, n: F.when((at >= 0) & (n > 0), F.struct((base + F.get(toks, at)["start"]).alias("start"), (base + F.get(toks, at + n - 1)["end"]).alias("end")))
@@ -312,6 +344,7 @@ def _public() -> list[Column]:
         F.when(~ranged, numbers.notation(q["lower"])).otherwise(F.concat_ws("-", numbers.notation(q["lower"]), numbers.notation(q["upper"]))).alias("sci"),
         F.when(~ranged, numbers.short_notation(q["lower"])).otherwise(F.concat_ws("-", numbers.short_notation(q["lower"]), numbers.short_notation(q["upper"]))).alias("sci_short"),
         (shape == "one_of").alias("one_of"),
+        *[c.alias(name) for c, name in zip(_clause(), ("clause", "clause_code", "clause_rest"), strict=True)],
     ]
 
 
@@ -335,7 +368,8 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
 
     ids.., sent_no, ord (place of the number in the normalized text), change, kind (value or range), value,
     lower, upper, unit_surface, unit_norm (`-` for none), unit_scientific, unit_keys, concepts, in_bracket,
-    value_spans, unit_spans (places in the normalized text), sci, sci_short, one_of.
+    value_spans, unit_spans (places in the normalized text), sci, sci_short, one_of, clause, clause_code and
+    clause_rest (the clause the value stands in: its number, its tokens' classes, how many are behind the value).
     Texts that are null, empty or without numbers give no rows.
     """
     own = [f"_id{i}" for i in range(len(id_cols))]
@@ -346,5 +380,6 @@ def extract(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ())
     rows = rows.select("*", held("x is_m", lambda: F.coalesce(F.col("may_m") & (F.col("high") - F.col("low") <= 100), F.lit(False)).alias("is_m")))
     rows = rows.select("*", *held("x signed", _signed))
     rows = normalized(rows)
-    rows = rows.select(*own, "sent_no", held("x kept", _kept)).filter("q is not null")
-    return rows.select(*[F.col(i).alias(c) for c, i in zip(id_cols, own, strict=True)], *held("x public", _public))
+    rows = rows.select(*own, "sent_no", held("x kept", _kept)).filter("_q is not null")
+    rows = rows.select(*own, *held("x public", _public))
+    return rows.select(*[F.col(i).alias(c) for c, i in zip(id_cols, own, strict=True)], *rows.columns[len(own) :])

@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from metrolith import api, rule_examples
 from metrolith.functions import bounds, ignore, numbers, textnorm, tokens
 from metrolith.functions.lexicon import NUMBER_WORDS
-from metrolith.functions.spans import BETWEEN_COMMAS, BRACKETS, inside, located
+from metrolith.functions.spans import BETWEEN_COMMAS, BRACKETS, located
 from metrolith.operators import clauses as clause_ops
 from metrolith.operators import parsed, rendering, rules
 from metrolith.operators.extract import extract, tokenized
@@ -336,19 +337,25 @@ def _shapes(spark, sf_dir, pattern):
     return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("n"))
 
 
-@query(_counts(ignore.PATTERNS["I4"]))
+def _masked(spark, sf_dir, text):
+    """How many characters of texts made of the documents' columns are ignored."""
+    made = table(spark, sf_dir, "documents").select("doc_id", ignore.mask(F.expr(text)).alias("t"))
+    return made.select("doc_id", F.regexp_count("t", F.lit(ignore.MARK)).alias("n"))
+
+
+@query("SELECT doc_id, CAST(length('5-4-10-' || CAST(doc_id AS VARCHAR)) AS INT) AS n FROM documents")
 def documents_sequences(spark, sf_dir):
-    return _shapes(spark, sf_dir, ignore.PATTERNS["I4"])
+    return _masked(spark, sf_dir, "'The code is 5-4-10-' || CAST(doc_id AS STRING) || ' of ' || lang")
 
 
-@query(_counts(ignore.PATTERNS["I6"]))
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 8 ELSE length(CAST(doc_id % 24 AS VARCHAR)) + 3 END AS INT) AS n FROM documents")
 def documents_times(spark, sf_dir):
-    return _shapes(spark, sf_dir, ignore.PATTERNS["I6"])
+    return _masked(spark, sf_dir, "'It came at ' || CASE WHEN doc_id % 2 = 0 THEN lpad(CAST(doc_id % 24 AS STRING), 2, '0') || ':06:40' ELSE CAST(doc_id % 24 AS STRING) || ':30' END || ' from ' || lang")
 
 
-@query(_counts(ignore.PATTERNS["I10"]))
+@query("SELECT doc_id, CAST(length(CAST(doc_id AS VARCHAR)) + 3 AS INT) AS n FROM documents")
 def documents_ordinals(spark, sf_dir):
-    return _shapes(spark, sf_dir, ignore.PATTERNS["I10"])
+    return _masked(spark, sf_dir, "'It is the ' || CAST(doc_id AS STRING) || '4th of ' || CAST(doc_id AS STRING) || ' texts'")
 
 
 @query(_counts(ignore.PATTERNS["I12"].replace("'", "''")))
@@ -669,7 +676,10 @@ def stream_event_quantities(spark, sf_dir):
 
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parq*")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="metrolith-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="metrolith-stream-")
     root = f"{root}/stream-{uuid.uuid4().hex}"
     q = event_quantities(spark, sf_dir, stream).select("event_id", "change", "value", "unit_norm")
     streams.run_once(q, f"{root}/out", f"{root}/checkpoint").awaitTermination()
@@ -685,11 +695,11 @@ def training_onehot(spark, sf_dir):
     return one_hot(docs, ("good", "bad")).drop("unit")
 
 
-@query("SELECT p_partkey, CAST(i AS INT) AS ord, s AS surface, CAST(s AS DOUBLE) AS value FROM (SELECT p_partkey, 5 AS i, CAST(p_size AS VARCHAR) AS s FROM part)")
+@query("SELECT p_partkey, 5 AS ord, CAST(p_size AS DOUBLE) AS value, 'centimetre' AS unit_norm FROM part WHERE p_size > 10")
 def sql_table_function(spark, sf_dir):
-    api.register(spark)
-    table(spark, sf_dir, "part").createOrReplaceTempView("part_for_numbers")
-    return spark.sql("SELECT p_partkey, ord, surface, value FROM part_for_numbers, LATERAL extract_numbers('size ' || CAST(p_size AS STRING) || ' cm')")
+    """The view that register() makes, with conditions on what the engine computes."""
+    api.register(spark, spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", "'size ' || CAST(p_size AS STRING) || ' cm' AS text"), "part_quantities", "text", ("p_partkey",))
+    return spark.sql("SELECT p_partkey, ord, value, unit_norm FROM part_quantities WHERE value > 10 AND unit_scientific")
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS value, 'box' AS unit_norm FROM events")
@@ -705,12 +715,60 @@ def documents_quantities(spark, sf_dir):
     return q.select("doc_id", "sent_no", "ord", "change", "kind", "lower", "upper", "unit_norm")
 
 
-@query(None)
+@query("SELECT doc_id, CAST(doc_id % 50 AS DOUBLE) AS value, 'up' AS change, 'petrel' AS concept FROM documents WHERE text IS NOT NULL")
+def documents_planted_quantities(spark, sf_dir):
+    """A sentence added to each whole document, found by conditions on what the engine computes."""
+    docs = spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", "text || '. The petrel grew ' || CAST(doc_id % 50 AS STRING) || ' kilolumens.' AS text")
+    q = extract(docs.filter("text IS NOT NULL"), "text", ["doc_id"]).filter("unit_norm = 'kilolumen'")
+    return q.select("doc_id", "value", "change", F.element_at("concepts", -1).alias("concept"))
+
+
+@query("SELECT p_partkey, 5 AS n FROM part")
 def token_brackets_joined(spark, sf_dir):
-    """Tokens of the documents that stand in brackets: a range join within each row."""
-    t = tokenized(table(spark, sf_dir, "documents"), "text", ["doc_id"])
-    t = t.select("doc_id", "sent_no", "toks", located(F.array_join(F.transform("toks", lambda x: x["text"]), " "), BRACKETS).alias("b"))
-    return t.select("doc_id", "sent_no", F.size(F.filter("toks", lambda x: inside(x["start"], F.col("b")))).alias("n"))
+    """Tokens that stand in brackets: places of the brackets in a sentence's class string, within each row."""
+    t = tokenized(table(spark, sf_dir, "part").selectExpr("p_partkey", "'The part (size ' || CAST(p_size AS STRING) || ' here) is new' AS text"), "text", ["p_partkey"])
+    spans = located(F.col("code"), BRACKETS)
+    return t.select("p_partkey", F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"]).alias("n"))
+
+
+# -- post-filters and shared units
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS value, 'bolt' AS unit_norm FROM part WHERE p_partkey % 4 = 0")
+def post_filters(spark, sf_dir):
+    """An echoed name, a year's noun and a street number are no quantities; bolts are."""
+    n = "CAST(p_size AS STRING)"
+    text = f"CASE p_partkey % 4 WHEN 0 THEN 'They use ' || {n} || ' bolts' WHEN 1 THEN 'The rover ' || {n} || ' is out and all ' || {n} || ' rover stock is sold' WHEN 2 THEN 'They won in 20' || lpad({n}, 2, '0') || ' season games' ELSE 'They live at ' || {n} || ' Old Oak Road' END"
+    return found(spark, sf_dir, "part", ["p_partkey"], text).select("p_partkey", "value", "unit_norm")
+
+
+@query(
+    """SELECT p_partkey, 0 AS k, CAST(p_size AS DOUBLE) AS value, CASE p_partkey % 2 WHEN 0 THEN 'percentage' ELSE 'dollar' END AS unit_norm FROM part
+    UNION ALL SELECT p_partkey, 1 AS k, CAST(p_size + 1 AS DOUBLE) AS value, CASE p_partkey % 2 WHEN 0 THEN 'percentage' ELSE 'dollar' END AS unit_norm FROM part"""
+)
+def shared_units_by_clause(spark, sf_dir):
+    """A bare number takes the unit of the next value in its clause, or of its like in a clause built alike."""
+    a, b = "CAST(p_size AS STRING)", "CAST(p_size + 1 AS STRING)"
+    text = f"CASE p_partkey % 2 WHEN 0 THEN 'Big sales went over ' || {a} || ' percent and big taxes went over ' || {b} ELSE 'They sell it for ' || {a} || ' then $' || {b} || ' now' END"
+    q = api.with_shared_units(found(spark, sf_dir, "part", ["p_partkey"], text), ["p_partkey"])
+    return q.select("p_partkey", "value", "unit_norm", "ord").withColumn("k", (F.row_number().over(Window.partitionBy("p_partkey").orderBy("ord")) - 1)).drop("ord")
+
+
+@query("SELECT 1 AS k, 'united states dollar' AS unit_norm UNION ALL SELECT 2 AS k, 'gram' AS unit_norm UNION ALL SELECT 3 AS k, 'metre' AS unit_norm UNION ALL SELECT 4 AS k, 'metre' AS unit_norm")
+def unit_words(spark, sf_dir):
+    """Units of several words: the first two as one, a word that the catalog knows, a repeated first word."""
+    from metrolith.operators.extract import any_known, once, resolved
+
+    rows = values(spark, [(1, ["US", "$", "notes"]), (2, ["old", "grams", "heaps"]), (3, ["metres", "metres"]), (4, ["small", "m"])], "k int, ws array<string>")
+    unit = once(F.col("ws"))
+    known = F.when(F.size(unit) > 1, any_known(unit)).otherwise(F.get(unit, F.lit(0)))
+    return rows.select("k", resolved([known], F.col("ws"))["n"].alias("unit_norm"))
+
+
+@query("SELECT p_partkey, 'kilometre per hour' AS unit_norm, true AS known FROM part")
+def quantity_surface_forms(spark, sf_dir):
+    q = api.with_surface_forms(found(spark, sf_dir, "part", ["p_partkey"], "'It runs ' || CAST(p_size AS STRING) || ' km/h'"))
+    return q.select("p_partkey", "unit_norm", F.array_contains(F.flatten("unit_forms"), "hours").alias("known"))
 
 
 def entry(spark: SparkSession) -> DataFrame:

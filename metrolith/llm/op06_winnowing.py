@@ -9,17 +9,19 @@ positions() reads it.  The likeness of two fingerprints is the Jaccard index of
 
 To compare each document with the next one, documents are dealt into ranges of doc_id, sorted within each,
 and each range also gets a copy of the next range's first document; so texts shuffle once and only
-neighbouring rows are held.
+neighbouring rows are held.  An id that fills several ranges, or null, is dealt further by a hash of the text;
+only rows equal in id and text stay together.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint; two empty ones are alike (1),
 an empty one and another are not (0); a text shorter than K is one gram.  Null ids come first; rows of one
-doc_id are ordered by text; a single row is its own next.  An empty table gives no rows.
+doc_id are ordered by a hash of the text, then by text; a single row is its own next.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,36 +108,52 @@ def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(run), "doc_id bigint, fingerprint string")
 
 
-def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """(part, ghost, doc_id, text): rows by ascending id within each part, and after each part's rows, as
-    ghosts, copies of the first row of the next part (of the first part after the last)."""
+def dealt(docs: DataFrame, ranges: int) -> Column:
+    """The part of each row of docs (doc_id, h), by ascending id (null first) and h: bounds are quantiles of the
+    ids, and of h, which is a hash, where an id (or null) fills more than one of the ranges."""
+    wide = lambda m: [round((j / m - 0.5) * (1 << 64)) for j in range(1, m)]
     quantiles = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    bounds = sorted({int(q) for q in quantiles})
-
-    def part(c: Column) -> Column:
-        """How many bounds are at most c: first of every k-th bound, then of the k that follow."""
-        if not bounds:
-            return F.lit(0)
-        k = max(1, math.isqrt(len(bounds)))
-        before = F.size(F.filter(F.lit(bounds[k - 1 :: k]), lambda b: b <= c)) * k
-        return before + F.size(F.filter(F.slice(F.lit(bounds), before + 1, F.lit(k)), lambda b: b <= c))
-
-    docs = docs.select(F.greatest(part(F.col("doc_id")), F.lit(0)).alias("part"), F.lit(0).alias("ghost"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # At most `ranges` rows: the smallest id of each part, a null before any other.
-    order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
-    firsts = sorted((r.part, r.low.doc_id) for r in docs.groupBy("part").agg(F.min(order).alias("low")).collect())
+    often = Counter(int(q) for q in quantiles)
+    least = -(1 << 63)
+    bounds = sorted((i, t) for i, m in often.items() for t in [least, *wide(m)])
+    rows, empty = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    of_null = wide(max(1, round(ranges * empty / max(1, rows))))
+    null_part = F.size(F.filter(F.lit(of_null), lambda t: t <= F.col("h"))) if of_null else F.lit(0)
+    if not bounds:
+        return F.when(F.col("doc_id").isNull(), null_part).otherwise(len(of_null) + 1)
+    ids, hashes, k = F.lit([i for i, _ in bounds]), F.lit([t for _, t in bounds]), max(1, math.isqrt(len(bounds)))
+
+    def reached(j: Column) -> Column:
+        at = F.get(ids, j)
+        return (at < F.col("doc_id")) | ((at == F.col("doc_id")) & (F.get(hashes, j) <= F.col("h")))
+
+    # How many bounds are reached: first of every k-th bound, then of the k that follow.
+    before = F.size(F.filter(F.lit(list(range(k - 1, len(bounds), k))), reached)) * k
+    rest = F.filter(F.sequence(before, F.least(before + k, F.lit(len(bounds))) - 1), reached)
+    part = F.when(before < len(bounds), before + F.size(rest)).otherwise(before)
+    return F.when(F.col("doc_id").isNull(), null_part).otherwise(part + len(of_null) + 1)
+
+
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
+    """(part, ghost, doc_id, text): rows by ascending id, then hash of the text, then text, within each part, and
+    after each part's rows, as ghosts, copies of the first row of the next part (of the first part after the last)."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    docs = docs.select(dealt(docs, ranges).alias("part"), F.lit(0).alias("ghost"), "doc_id", "h", "text")
+    # At most some ranges rows: the first id and hash of each part.
+    order = [F.col("doc_id").isNotNull().alias("some"), "doc_id", "h"]
+    firsts = sorted((r.part, r.low.doc_id, r.low.h) for r in docs.groupBy("part").agg(F.min(F.struct(*order)).alias("low")).collect())
     if not firsts:
-        return docs
-    before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
-    chosen = F.lit(False)
-    if ids := [d for _, d in firsts if d is not None]:
-        chosen = F.col("doc_id").isin(ids)
-    if firsts[0][1] is None:
-        chosen = (chosen & (F.col("part") > firsts[0][0])) | F.col("doc_id").isNull()
-    ghosts = docs.filter(chosen).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("r"))
+        return docs.drop("h")
+    before = {p: firsts[i - 1][0] for i, (p, _, _) in enumerate(firsts)}
+    chosen = F.col("doc_id").isNull()
+    if ids := [d for _, d, _ in firsts if d is not None]:
+        chosen = chosen | F.col("doc_id").isin(ids)
+    chosen = chosen & F.col("h").isin([h for _, _, h in firsts])
+    ghosts = docs.filter(chosen).groupBy("part").agg(F.min(F.struct(*order, "text")).alias("r"))
     to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    ghosts = ghosts.select(to[F.col("part")].alias("part"), F.lit(1).alias("ghost"), "r.doc_id", "r.text")
-    return docs.unionByName(ghosts).repartition("part").sortWithinPartitions("part", "ghost", F.asc_nulls_first("doc_id"), "text")
+    ghosts = ghosts.select(to[F.col("part")].alias("part"), F.lit(1).alias("ghost"), "r.doc_id", "r.h", "r.text")
+    sorted_rows = docs.unionByName(ghosts).repartition("part").sortWithinPartitions("part", "ghost", F.asc_nulls_first("doc_id"), "h", "text")
+    return sorted_rows.drop("h")
 
 
 def compared(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -274,7 +274,9 @@ def test_short_edited_copies_share_fingerprints():
 @pytest.mark.parametrize("ranges", [1, 3, 16])
 def test_winnowing_neighbours(spark, ranges):
     rows = [(i * 3, "".join(random.Random(i).choice("ab cé😀") for _ in range(i * 7 % 150))) for i in range(60)] + [(None, "first of all"), (7, "same"), (7, "same"), (10**12, None)]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows += [(None, f"no id {i}") for i in range(25)] + [(30, f"hot id {i}") for i in range(40)]
+    digest = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1] or ""), r[1] or ""))
     expected = []
     for i, (doc_id, text) in enumerate(order):
         text, following = text or "", order[(i + 1) % len(order)][1] or ""
@@ -286,4 +288,7 @@ def test_winnowing_neighbours(spark, ranges):
     got = [tuple(r) for r in op6.compared(frame(spark, rows), ranges).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert op6.compared(frame(spark, []), ranges).count() == 0
+    if ranges == 16:  # neither null nor the hot id stays in one part
+        parts = op6.with_next(frame(spark, rows).select("doc_id", "text"), ranges).filter("ghost = 0").select("part", "doc_id").distinct().collect()
+        assert len([1 for p in parts if p.doc_id is None]) > 2 and len([1 for p in parts if p.doc_id == 30]) > 2
     assert op6.fingerprint_texts(frame(spark, rows)).count() == len(rows)

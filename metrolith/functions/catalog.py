@@ -137,6 +137,56 @@ _LINES: list[tuple[str, tuple[str, ...], str]] = [
     ("count", (), "parts per million; parts per million; ppm"),
     ("count", (), "parts per billion; parts per billion; ppb"),
     ("generation", (), "generation wireless; generation wireless; G"),
+    ("length", (), "furlong; furlong"),
+    ("length", (), "fathom; fathom"),
+    ("length", (), "parsec; parsec; pc"),
+    ("mass", (), "hundredweight; hundredweight; cwt"),
+    ("mass", (), "grain; grain"),
+    ("mass", ("k",), "dalton; dalton; Da"),
+    ("time", (), "millennium; millennium, millennia"),
+    ("angle", (), "arcminute; arcminute, arc minute, minute of arc; arcmin"),
+    ("angle", (), "arcsecond; arcsecond, arc second, second of arc; arcsec"),
+    ("angle", (), "steradian; steradian; sr"),
+    ("area", (), "square centimetre; square centimeter, square centimetre; cm2 cm²"),
+    ("area", (), "square millimetre; square millimeter, square millimetre; mm2 mm²"),
+    ("area", (), "square inch; square inch, sq in; in2 in²"),
+    ("area", (), "square yard; square yard, sq yd; yd2"),
+    ("volume", (), "cubic centimetre; cubic centimeter, cubic centimetre; cm3 cm³ cc"),
+    ("volume", (), "cubic inch; cubic inch; in3"),
+    ("volume", (), "cubic yard; cubic yard; yd3"),
+    ("volume", (), "cubic kilometre; cubic kilometer, cubic kilometre; km3 km³"),
+    ("volume", (), "fluid ounce; fluid ounce, fl oz"),
+    ("volume", (), "bushel; bushel; bu"),
+    ("speed", (), "kilometre per second; kilometer per second, kilometre per second; kmps"),
+    ("speed", (), "foot per second; foot per second, feet per second; fps"),
+    ("acceleration", (), "metre per second squared; meter per second squared, metre per second squared"),
+    ("density", (), "gram per cubic centimetre; gram per cubic centimeter, gram per cubic centimetre"),
+    ("density", (), "kilogram per cubic metre; kilogram per cubic meter, kilogram per cubic metre"),
+    ("energy", (), "therm; therm"),
+    ("energy", (), "erg; erg"),
+    ("force", (), "dyne; dyne; dyn"),
+    ("force", (), "pound-force; pound-force; lbf"),
+    ("torque", (), "newton metre; newton meter, newton metre; Nm"),
+    ("pressure", (), "torr; torr"),
+    ("pressure", (), "millimetre of mercury; millimetre of mercury, millimeter of mercury; mmHg"),
+    ("viscosity", ("c",), "poise; poise"),
+    ("frequency", (), "beat per minute; beat per minute, beats per minute; bpm"),
+    ("frequency", (), "frame per second; frame per second, frames per second"),
+    ("electric", SI, "siemens; siemens"),
+    ("magnetic", SI, "weber; weber; Wb"),
+    ("magnetic", ("k",), "gauss; gauss"),
+    ("substance", (), "katal; katal; kat"),
+    ("concentration", ("m", "μ", "µ", "n"), "molar; molar"),
+    ("radiation", ("m",), "rem; rem"),
+    ("radiation", (), "roentgen; roentgen"),
+    ("radiation", ("m", "μ", "µ", "n"), "curie; curie; Ci"),
+    ("level", (), "neper; neper; Np"),
+    ("data", (), "byte per second; byte per second, bytes per second; B/s"),
+    ("data", ("k", "M"), "baud; baud; Bd"),
+    ("computing", ("k", "M", "G", "T", "P", "E"), "flops; flops; FLOPS"),
+    ("image", (), "pixel per inch; pixel per inch, pixels per inch; ppi"),
+    ("count", (), "parts per trillion; parts per trillion; ppt"),
+    ("count", (), "body mass index; body mass index; BMI"),
 ]
 
 _MONEY: list[tuple[str, str, str, str]] = [  # key; surfaces; symbols; code
@@ -165,6 +215,14 @@ _MONEY: list[tuple[str, str, str, str]] = [  # key; surfaces; symbols; code
     ("penny", "penny, pence, pennies", "", ""),
 ]
 
+#: Further currencies by ISO 4217 code: code, name of the people, name of the coin if no other word is like it.
+_CODES = (
+    "AED united arab emirates=dirham, ARS argentine=peso, BDT bangladeshi=taka, BGN bulgarian=, BHD bahraini=dinar, BRL brazilian real=, CLP chilean peso=, COP colombian peso=, CZK czech=koruna, DKK danish krone=, "
+    "EGP egyptian pound=, HUF hungarian=forint, IDR indonesian=rupiah, ILS israeli=shekel, ISK icelandic krona=, JOD jordanian dinar=, KES kenyan=shilling, KWD kuwaiti dinar=, KZT kazakhstani=tenge, LKR sri lankan rupee=, "
+    "MAD moroccan dirham=, MXN mexican peso=, NGN nigerian=naira, NOK norwegian=krone, NZD new zealand dollar=, PEN peruvian sol=, PHP philippine peso=, PKR pakistani rupee=, PLN polish=zloty, QAR qatari riyal=, "
+    "RON romanian leu=, RUB russian=rouble, SAR saudi=riyal, SEK swedish=krona, THB thai=baht, TRY turkish=lira, TWD new taiwan dollar=, UAH ukrainian=hryvnia, ZAR south african rand="
+)
+
 
 def units() -> list[Unit]:
     out = [_unit(entity, line, prefixes) for entity, prefixes, line in _LINES]
@@ -172,6 +230,12 @@ def units() -> list[Unit]:
         base = _unit("currency", f"{key};{surfaces};{symbols}")
         symbols_of = tuple(dict.fromkeys([*base.symbols, *([code, code.lower()] if code else [])]))
         out.append(Unit(base.key, "currency", base.surfaces, symbols_of, (), code or None))
+    for entry in _CODES.split(", "):
+        code, name = entry.split(" ", 1)
+        people, coin = name.split("=")
+        key = f"{people} {coin}".strip() if coin else people if " " in people else f"{people} lev"
+        surfaces = (key, _plural(key), *((coin, _plural(coin)) if coin else ()))
+        out.append(Unit(key, "currency", surfaces, (code,), (), code))
     return out
 
 

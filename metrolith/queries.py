@@ -299,6 +299,15 @@ def ambiguous_unit_rank(spark, sf_dir):
     return api.disambiguate(mentions, "form", "text").select("c_custkey", "form", "reading", "score")
 
 
+@query("SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN 'pound-mass' ELSE 'pound sterling' END AS reading FROM customer WHERE c_custkey % 3 = 0")
+def ambiguity_learned(spark, sf_dir):
+    """Cue words are learned from two thirds of the customers' sentences and decide the others."""
+    said = "CASE c_custkey % 2 WHEN 0 THEN 'the sack tips the scale at ' ELSE 'the invoice was settled with ' END || c_mktsegment || ' ' || c_name"
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'pound' AS form", f"{said} AS text", "CASE c_custkey % 2 WHEN 0 THEN 'pound-mass' ELSE 'pound sterling' END AS unit")
+    cues = api.learn_cues(rows.filter("c_custkey % 3 <> 0"))
+    return api.disambiguate(rows.filter("c_custkey % 3 = 0").drop("unit"), "form", "text", cues).select("c_custkey", "reading")
+
+
 @query(sql_values([("dollar per barrel", "dollar", 5), ("dollar per barrel", "barrel", 3), ("litre", "litre", 6)], "unit_norm, unit_key, n"))
 def unit_surface_forms(spark, sf_dir):
     q = rendering.surface_forms(values(spark, [("dollar per barrel",), ("litre",)], "unit_norm string"))

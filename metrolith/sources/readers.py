@@ -34,6 +34,11 @@ def one_hot(examples: DataFrame, labels: tuple[str, ...], col: str = "unit") ->
     return examples.select("*", *[F.when(F.col(col) == x, 1).otherwise(0).alias(f"is_{x.replace(' ', '_').replace('-', '_')}") for x in labels])
 
 
+def write_examples(examples: DataFrame, path: str, surface_col: str = "surface", mode: str = "errorifexists") -> None:
+    """Training examples as Parquet, a folder for each ambiguous surface form."""
+    examples.repartition(surface_col).write.mode(mode).partitionBy(surface_col).parquet(path)
+
+
 def write_quantities(quantities: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
     """Parquet, by the given columns; each partition's rows are brought together first, so that it has few files."""
     out = quantities.repartition(*partition_by) if partition_by else quantities

@@ -174,6 +174,20 @@ def test_disambiguation_and_units(spark):
     assert got == {("pound", "a heavy fish"): "pound-mass", ("pound", "the price"): "pound sterling", ("B", "a loud noise"): "bel"}
 
 
+def test_learned_cues_and_their_sink(spark, tmp_path):
+    rows = [(f"{'sugar heap' if i % 2 else 'cheque signed'} number {i}", ("pound-mass", "pound sterling")[i % 2 == 0], "pound") for i in range(40)] + [(None, "pound-mass", "pound"), ("x", None, "pound"), ("", "pound-mass", "B")]
+    examples = spark.createDataFrame(rows, "text string, unit string, surface string")
+    cues = {(r.reading, r.word) for r in api.learn_cues(examples, 2).collect()}
+    assert cues == {("pound-mass", "sugar"), ("pound-mass", "heap"), ("pound sterling", "cheque"), ("pound sterling", "signed")}
+    df = spark.createDataFrame([("pound", "a heap"), ("pound", "a cheque"), ("pound", None)], "f string, t string")
+    got = {r.t: r.reading for r in api.disambiguate(df, "f", "t", api.learn_cues(examples, 2)).collect()}
+    assert got["a heap"] == "pound-mass" and got["a cheque"] == "pound sterling"
+    readers.write_examples(examples, str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 43 and (tmp_path / "e" / "surface=pound").is_dir()
+    assert api.learn_cues(examples.limit(0)).count() == 0
+    assert api.session() is not None
+
+
 def test_every_oracle_has_its_query():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
@@ -181,7 +195,7 @@ def test_every_oracle_has_its_query():
 AGREE = (
     "sentence_cases", "number_cases", "bound_cases", "token_cases", "text_normalization", "unit_cascade", "unit_words", "ranges_between", "scale_suffix", "ignored_phones", "post_filters", "shared_units_by_clause",
     "quantity_surface_forms", "documents_sequences", "documents_times", "documents_ordinals", "documents_planted_quantities", "token_brackets_joined", "sql_table_function", "dependency_rules", "rules_unregistered", "rules_by_sentence",
-    "rule_candidates", "rule_flags", "quantities_of_parses", "session_windows", "training_onehot",
+    "rule_candidates", "rule_flags", "quantities_of_parses", "session_windows", "training_onehot", "ambiguity_learned",
 )
 
 

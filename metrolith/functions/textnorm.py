@@ -103,32 +103,32 @@ STEPS: list[Step] = [
     ("P14", sub(r"<([a-z]+)>", "$1")),
     ("P15", sub(r"\(([a-z]{2,3})\)", "$1")),
     ("P16", sub(r"\b(\d+)\s*yo\b", "$1 years old")),
-    ("P17", sub(r"(\d+)-[\s+|.]", "$1")),
+    ("P17", sub(r"(\d+)-[\s.]", "$1")),
     ("P18", sub(r"\b([a-z])\.(?!$)", "$1")),
     ("P19a", sub(r"(?<=\d),(?=[\d,]*(?:\.\d+)?(?!E[+−\d]|e[+−\d])[a-zA-Z]{1,3}[.,]?(?![\d]))", "")),
     ("P19b", sub(rf"(?<![A-Z\d,.])({NUM})(?!E[+−\d]|e[+−\d])([a-zA-Z]{{1,3}})\.", "$1 $2 .")),
     ("P19c", sub(rf"(?<![A-Z\d,.])({NUM})(?!E[+−\d]|e[+−\d])([a-zA-Z]{{1,3}})", "$1 $2")),
     ("P20", sub(rf"(?i)({CODES})\s?({NUM})\s?m(?![a-z\d])(?:[.,](?=\s|$))?", "$1 $2 M")),
     ("P21", sub(rf"\bPS({NUM})", "£$1")),
-    ("P22", sub(rf"([$|€£]\s?{NUM}\s?)m(?![a-z\d])([., \n]?)", "$1M$2")),
+    ("P22", sub(rf"([$€£]\s?{NUM}\s?)m(?![a-z\d])([., \n]?)", "$1M$2")),
     ("P23", sub(rf"\b(RM)\s?({NUM})(?:million|mil|m|M)+\b", "$2 M $1")),
     ("P24", sub(rf"\b(RM)\s?({NUM})(k|K|bn|b|B|tn)+\b", "$2 $3 $1")),
     ("P25", sub(rf"\b(RM)({NUM})\b", "$2 $1")),
     ("P26", sub(r"([0-9.]+)-([a-zA-Z]+)", "$1 $2")),
     *_scale_steps(),
-    ("P28", sub(r"([\d+,.]+)\s*sq\sm\b", "$1sqm")),
-    ("P29", sub(r"([\d+,.]+)\s*sqm\b", "$1 m2")),
-    ("P30", upper_groups(r"(\d+)\s+(\d)/(\d)[\s+|.]", lambda g: _shortest(_number(g(1)) + F.coalesce(F.try_divide(_number(g(2)), _number(g(3))), F.lit(0.0))))),
-    ("P31", upper_groups(r"\b(\d)/([1-9])[\s+|.]", lambda g: _shortest(_number(g(1)) / _number(g(2))))),
-    ("P32", sub(r"([\d+,.]+)\s+deg\b", "$1 degree")),
-    ("P33", sub(r"degrees?\s+[fF](?=[\s+.]|$)", "degf")),
+    ("P28", sub(r"([\d,.]+)\s*sq\sm\b", "$1sqm")),
+    ("P29", sub(r"([\d,.]+)\s*sqm\b", "$1 m2")),
+    ("P30", upper_groups(r"(\d+)\s+(\d)/(\d)[\s.]", lambda g: _shortest(_number(g(1)) + F.coalesce(F.try_divide(_number(g(2)), _number(g(3))), F.lit(0.0))))),
+    ("P31", upper_groups(r"\b(\d)/([1-9])[\s.]", lambda g: _shortest(_number(g(1)) / _number(g(2))))),
+    ("P32", sub(r"([\d,.]+)\s+deg\b", "$1 degree")),
+    ("P33", sub(r"degrees?\s+[fF](?=[\s.]|$)", "degf")),
     ("P34", sub(r"\s+to-([\d,.]+)", " to $1")),
     ("P35", sub(r"(\s)\$US", r"$1US\$")),
     ("P36", upper_groups(r"\b(u\.s|US|hk|HK)\s*\$\s*", lambda g: F.concat(F.upper(g(1)), F.lit("$ ")))),
-    ("P37", sub(r"([0-9,.|million]+\s+)us\s", "$1US ")),
+    ("P37", sub(r"((?:[0-9,.]+|million)\s+)us\s", "$1US ")),
     ("P38", sub(r"us\s*\$", r"US \$")),
     ("P39", upper_groups(r"(aud|usd)\$", lambda g: F.concat(F.upper(g(1)), F.lit("$")))),
-    ("P40", sub(rf"({NUM})\s*([$|€])", "$2$1")),
+    ("P40", sub(rf"({NUM})\s*([$€])", "$2$1")),
     ("P41", sub(rf"(?i)(?<![a-zA-Z])(M)({CODES})\b", "$1 $2")),
     *_currency_steps(),
     ("P43", sub(rf"({NUM}\s*)bitcoins?", "$1btc")),
@@ -138,7 +138,7 @@ STEPS: list[Step] = [
     ("P47", upper_groups(rf"({NUM}\s*)(mB|gB|kB|tB)\b", lambda g: F.concat(g(1), F.upper(g(2))))),
     ("P48", upper_groups(rf"({NUM}\s*)([mMgGkKtT])b\b", lambda g: F.concat(g(1), F.upper(g(2)), F.lit("bit")))),
     ("P49", sub(r"([a-z]+)-a-([a-z]+)", "$1 a $2")),
-    ("P50", sub(r"(?<![\d|a-zA-Z])\+(?!\s?\d{2}\s?\(?\d{4}\)?\s?\d{4,7}\b)", "up ")),
+    ("P50", sub(r"(?<![\da-zA-Z])\+(?!\s?\d{2}\s?\(?\d{4}\)?\s?\d{4,7}\b)", "up ")),
     ("P51", sub(r"minus-([\d,.]+)", "-$1")),
     ("P52", sub(r"\s-([\d,.]+)", " minus $1")),
     ("P53", sub(r"^-([\d,.]+)", "minus $1")),

@@ -46,7 +46,7 @@ LENGTH = 200
 ANCHOR = 48
 BLOCK_BYTES = 1 << 19
 BUCKET_BYTES = 1 << 20
-MOST = 2048  # contexts of one anchor in one bucket: about 0.7 MB of text
+MOST = 512  # contexts of one anchor in one bucket: about 0.2 MB of text
 
 RESULT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 ANCHOR_SCHEMA = "anchor bigint, ctx bigint, k1 bigint, k2 bigint, s0 int, n int"

@@ -13,11 +13,11 @@ bounds and units are then normalized by the column expressions that extract() us
    a common range are a row each, and share the other tokens; three values of overlapping ranges are two ranges.
 4. A value without a unit takes that of the next value two or three tokens on in its clause, with no verb or
    punctuation between, or of a value at the same place of a neighbouring clause that is built alike.
-5. The concept is looked for around the quantity, then over the verb, then at the root (CONCEPTS, in order).
+5. The concept is looked for around the quantity, then over the verb, then at the root (Sentence.concept).
 
 Defined cases: a sentence without matches, and a match without a number, give no rows; heads outside the
-sentence govern nothing; null words and tags are empty; repeated tokens of one index are taken in order of
-their text; an empty table gives no rows.
+sentence govern nothing; null words and tags are empty; an empty table gives no rows. A sentence's indices
+follow one another, each once.
 """
 
 from __future__ import annotations
@@ -381,9 +381,6 @@ class Sentence:
         return [s for v in self.verbs(own) for s in self.children[v] if self.dep[s] in ("dobj", "obj") and s in nouns([s]) and s not in self.flags["unit"]]
 
 
-CONCEPTS = ("behind", "before of", "before adposition", "out of bracket", "subject", "relative", "root", "object", "only noun")
-
-
 def assembled(toks: list[dict], matches: list[dict]) -> list[dict]:
     """The quantities (OUT) of a sentence."""
     s = Sentence(toks)

@@ -172,23 +172,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts_of = narrow(docs, doc_id=id_col, text=text_col).join(sample, "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("th"))
     # First without texts: an id may have any number of rows, of which copies count once.
     order = [F.xxhash64("doc_id"), "doc_id", "th", "label"]
-    found = texts_of.groupBy("doc_id", "th", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy(*order).limit(rows)
-    chosen, held = [], 0
-    for row in found.collect():  # at most `rows` rows of four numbers
+    found = texts_of.groupBy("doc_id", "th", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.count("*").alias("copies")).orderBy(*order).limit(rows)
+    chosen, held, single = {}, 0, True
+    for row in found.collect():  # at most `rows` rows of five numbers
         if held + row.n <= TRAIN_BYTES:
             held += row.n
-            chosen.append((row.doc_id, row.th, float(row.label)))
+            chosen[row.doc_id, row.th, float(row.label)] = len(chosen)
+            single = single and row.copies == 1
     if not chosen:
         return None
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(chosen, "doc_id bigint, th bigint, label double")
-    texts: list[bytes] = []
-    marks: list[float] = []
-    picked = texts_of.withColumn("label", F.col("label").cast("double")).join(F.broadcast(wanted), ["doc_id", "th", "label"]).dropDuplicates(["doc_id", "th", "label"])
-    for row in picked.orderBy(*order).toLocalIterator():  # at most TRAIN_BYTES of text
-        texts.append((row.text or "").encode())
-        marks.append(row.label)
-    return Network().fit(texts, np.array(marks, np.float32))
+    wanted = docs.sparkSession.createDataFrame(list(chosen), "doc_id bigint, th bigint, label double")
+    picked = texts_of.withColumn("label", F.col("label").cast("double")).join(F.broadcast(wanted), ["doc_id", "th", "label"])
+    picked = picked if single else picked.dropDuplicates(["doc_id", "th", "label"])
+    known_rows = sorted(picked.collect(), key=lambda r: chosen[r.doc_id, r.th, r.label])  # at most TRAIN_BYTES of text
+    return Network().fit([(r.text or "").encode() for r in known_rows], np.array([r.label for r in known_rows], np.float32))
 
 
 def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

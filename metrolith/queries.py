@@ -19,6 +19,7 @@ from metrolith.functions.spans import BETWEEN_COMMAS, BRACKETS, located
 from metrolith.operators import clauses as clause_ops
 from metrolith.operators import parsed, rendering, rules
 from metrolith.operators.extract import extract, tokenized
+from metrolith.operators.repeated import extract_repeated
 from metrolith.plans import reports
 from metrolith.streaming import streams
 
@@ -48,8 +49,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str, name: str, ids: list[str], text: str, *more: str) -> DataFrame:
-    """extract() over sentences made from a table's rows."""
-    return extract(spread(table(spark, sf_dir, name)).selectExpr(*ids, f"{text} AS text", *more), "text", [*ids, *[m.rsplit(" AS ", 1)[1] for m in more]])
+    """extract() over sentences made from a table's rows, each different sentence once if they repeat."""
+    return extract_repeated(table(spark, sf_dir, name).selectExpr(*ids, f"{text} AS text", *more), "text", [*ids, *[m.rsplit(" AS ", 1)[1] for m in more]], spread)
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -19,7 +19,7 @@ from metrolith.functions.spans import BETWEEN_COMMAS, BRACKETS, located
 from metrolith.operators import clauses as clause_ops
 from metrolith.operators import parsed, rendering, rules
 from metrolith.operators.extract import extract, tokenized
-from metrolith.operators.repeated import extract_repeated
+from metrolith.operators.repeated import extract_repeated, normalized_text_repeated
 from metrolith.plans import reports
 from metrolith.streaming import streams
 
@@ -426,7 +426,7 @@ def concept_of_for(spark, sf_dir):
 @query("SELECT o_orderkey, 'The tax is ' || CAST(o_orderkey % 9 AS VARCHAR) || ' percentage and the fee is ' || CAST(o_orderkey % 50 AS VARCHAR) || ' dollar .' AS text FROM orders")
 def normalized_text(spark, sf_dir):
     docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "'The tax is ' || CAST(o_orderkey % 9 AS STRING) || '% and the fee is $' || CAST(o_orderkey % 50 AS STRING) || '.' AS text")
-    return rendering.normalized_text(docs, extract(docs, "text", ["o_orderkey"]), "o_orderkey")
+    return normalized_text_repeated(docs, "o_orderkey", deal=spread)
 
 
 @query("SELECT p_partkey, CAST(length(p_name) + 6 AS INT) AS first_at, CAST(length(p_name) + 6 + 2 * length(CAST(p_size AS VARCHAR)) + 10 - length(CAST(p_size AS VARCHAR)) AS INT) AS second_at FROM part")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrolith import queries
-from metrolith.operators import repeated
+from metrolith.operators import rendering, repeated
 from metrolith.operators.extract import extract
 
 
@@ -32,7 +32,13 @@ def test_texts_that_differ_go_the_plain_way(spark):
     assert repeated.extract_repeated(df.limit(0), "text", ["id"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["plain_number_extract"])
+@pytest.mark.parametrize("name", ["plain_number_extract", "normalized_text"])
 def test_queries_read_each_text_once(spark, name):
     plan = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.01"))
     assert "strategy=broadcast" in plan and "Aggregate [_key" in plan
+
+
+def test_repeated_texts_are_rendered_as_others(spark):
+    df = spark.createDataFrame([(10 * i + j, t) for i in range(9) for j, t in enumerate(["The fee is $5 and 3%.", "nothing", "", None])], "id int, text string")
+    got, want = repeated.normalized_text_repeated(df, "id"), rendering.normalized_text(df, extract(df, "text", ["id"]), "id")
+    assert got.columns == want.columns and plain(got) == plain(want) and got.count() == 36

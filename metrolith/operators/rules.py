@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from metrolith.functions.held import held
 from metrolith.functions.lexicon import BROAD, FRACTIONS, NUMBER_WORDS, SCALES, pattern
+from metrolith.functions.spans import let
 
 # The rules. Family, then: token, relation to an earlier token, that token, [attributes].
 # Attributes: p= part of speech, d= dependency, t= text (!= negates), digit, notdigit, scale, notscale, number.
@@ -156,13 +157,19 @@ def in_rows(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("toks", F.transform("toks", lambda t: t.withField("i", t["i"] - F.col("base")).withField("head", t["head"] - F.col("base"))))
 
 
-def _facts() -> list[Column]:
-    """Of each token what the tests ask for."""
+def _facts(rules: tuple[Rule, ...]) -> list[Column]:
+    """Of each token what the rules' tests ask for."""
+    asked = {test for rule in rules for node in rule.nodes for test in node.tests}
 
     def fact(t: Column) -> Column:
-        low = F.lower(t["text"])
-        number = low.rlike(pattern(_NUMBERS)) | t["text"].rlike("^[0-9][0-9.,]*$")
-        return F.struct(t["text"].alias("text"), t["pos"].alias("pos"), t["dep"].alias("dep"), t["text"].rlike("^[0-9]+$").alias("digit"), low.rlike(pattern([*SCALES, *BROAD])).alias("scale"), number.alias("like_number"))
+        low, out = F.lower(t["text"]), [t[c].alias(c) for c in ("text", "pos", "dep")]
+        if asked & {"digit", "notdigit"}:
+            out.append(t["text"].rlike("^[0-9]+$").alias("digit"))
+        if asked & {"scale", "notscale"}:
+            out.append(low.rlike(pattern([*SCALES, *BROAD])).alias("scale"))
+        if "number" in asked:
+            out.append((low.rlike(pattern(_NUMBERS)) | t["text"].rlike("^[0-9][0-9.,]*$")).alias("like_number"))
+        return F.struct(*out)
 
     heads = F.transform("toks", lambda t: t["head"])
     return [F.transform("toks", fact).alias("facts"), heads.alias("heads"), F.sequence(F.lit(0), F.size("toks") - 1).alias("all")]
@@ -175,11 +182,17 @@ def _kin() -> list[Column]:
         head = F.get("heads", i)
         return F.array_max(F.filter("all", lambda j: (j < i) & (F.get("heads", j) == head) & (j != head) & (i != head)))
 
-    # Each round doubles the reach: a token's governors and theirs. A circle of heads adds nothing new.
+    # Nearest first; each round doubles the reach by what the farthest has. A circle of heads ends where it closes.
     near = F.transform("all", lambda i: F.filter(F.array(F.get("heads", i)), lambda h: (h != i) & h.between(0, F.size("all") - 1)))
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("all") + 1)).cast("int"))
-    more = lambda above: F.transform(above, lambda own: F.array_distinct(F.concat(own, F.flatten(F.transform(own, lambda h: F.get(above, h))))))
-    above = F.aggregate(rounds, near, lambda above, _: more(above))
+
+    def longer(own: Column, more: Column) -> Column:
+        return F.when((F.size(more) < 1) | F.array_contains(own, F.get(more, F.lit(0))), own).otherwise(F.array_distinct(F.concat(own, more)))
+
+    def reach(above: Column) -> Column:
+        return F.transform(above, lambda own: F.when(F.size(own) == 0, own).otherwise(let(F.get(above, F.get(own, F.size(own) - 1)), lambda more: longer(own, more))))
+
+    above = F.aggregate(rounds, near, lambda above, _: reach(above))
     return [F.col("heads"), F.transform("all", left_of).alias("left"), F.transform(above, lambda own, i: F.array_remove(own, i)).alias("above")]
 
 
@@ -202,7 +215,7 @@ def gathered(tokens: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...] =
     """A row per sentence: heads, left siblings, governors, and for each set of tests the tokens that pass it."""
     rows = in_rows(tokens)
     kept = [*keys(tokens), "base", *keep]
-    rows = rows.select(*kept, *held("facts", _facts))
+    rows = rows.select(*kept, *held(("facts", rules), lambda: _facts(rules)))
     return rows.select(*kept, *held("kin", _kin), *held(("passing", rules), lambda: _passing(rules)))
 
 

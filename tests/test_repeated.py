@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrolith import queries
-from metrolith.operators import rendering, repeated
+from metrolith.operators import rendering, repeated, rules
 from metrolith.operators.extract import extract
 
 
@@ -42,3 +42,30 @@ def test_repeated_texts_are_rendered_as_others(spark):
     df = spark.createDataFrame([(10 * i + j, t) for i in range(9) for j, t in enumerate(["The fee is $5 and 3%.", "nothing", "", None])], "id int, text string")
     got, want = repeated.normalized_text_repeated(df, "id"), rendering.normalized_text(df, extract(df, "text", ["id"]), "id")
     assert got.columns == want.columns and plain(got) == plain(want) and got.count() == 36
+
+
+def test_governors_of_deep_parses_and_circles(spark):
+    """All governors of each token, near and far, against a plain walk, in time that a deep parse does not square."""
+    import random
+    import time
+
+    pick = random.Random(7)
+    trees = [[max(0, i - 1) for i in range(600)], [pick.randrange(-2, 14) for _ in range(12)], [1, 2, 0, 0, 3], [1, 0], [0], [5, 9]]
+    trees += [[pick.randrange(0, 9) for _ in range(9)] for _ in range(40)]
+    rows = spark.createDataFrame([(k, h, list(range(len(h)))) for k, h in enumerate(trees)], "k int, heads array<int>, all array<int>")
+    began = time.time()
+    got = {r.k: r.above for r in rows.select("k", *rules._kin()).select("k", "above").collect()}
+    assert time.time() - began < 30
+    for k, heads in enumerate(trees):
+        for i, above in enumerate(got[k]):
+            want, at = set(), i
+            while 0 <= heads[at] < len(heads) and heads[at] != at and heads[at] not in want:
+                at = heads[at]
+                want.add(at)
+            assert sorted(above) == sorted(want - {i})
+
+
+def test_rules_ask_of_tokens_only_what_they_test(spark):
+    tokens = spark.createDataFrame([(1, 0, "x", "x", "NUM", "ROOT", 0)], "doc_id int, i int, text string, lemma string, pos string, dep string, head int")
+    assert "RLIKE" not in plan_of(rules.match_all(tokens, tuple(r for r in rules.REGISTERED if r.name == "noun_num_quant"))).upper()
+    assert rules.match_all(tokens).count() == 1

@@ -32,7 +32,7 @@ def test_texts_that_differ_go_the_plain_way(spark):
     assert repeated.extract_repeated(df.limit(0), "text", ["id"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["plain_number_extract", "normalized_text", "percent_amounts", "fraction_values"])
+@pytest.mark.parametrize("name", ["plain_number_extract", "normalized_text", "percent_amounts", "fraction_values", "scientific_notation"])
 def test_queries_read_each_text_once(spark, name):
     plan = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.01"))
     assert "strategy=broadcast" in plan and "Aggregate [_key" in plan

@@ -48,8 +48,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def found(spark: SparkSession, sf_dir: str, name: str, ids: list[str], text: str, *more: str) -> DataFrame:
-    """extract() over sentences made from a table's rows, each different sentence once if they repeat."""
+def found(spark: SparkSession, sf_dir: str, name: str, ids: list[str], text: str, *more: str, parts: dict[str, str] | None = None, results: list | tuple = ("*",)) -> DataFrame:
+    """extract() over sentences made from a table's rows, each different sentence once if they repeat. parts: by name,
+    what a text is made of; text is then over these names. results: what to keep beside the ids."""
+    if parts:
+        rows = table(spark, sf_dir, name).selectExpr(*ids, *[f"{made} AS {part}" for part, made in parts.items()])
+        return extract_repeated(rows, "text", ids, spread, list(parts), F.expr(text), results)
     return extract_repeated(table(spark, sf_dir, name).selectExpr(*ids, f"{text} AS text", *more), "text", [*ids, *[m.rsplit(" AS ", 1)[1] for m in more]], spread)
 
 
@@ -97,8 +101,9 @@ def money_amounts(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, CAST(round(l_discount * 100) AS DOUBLE) AS value, 'percentage' AS unit_norm, 'discount' AS concept FROM lineitem")
 def percent_amounts(spark, sf_dir):
-    q = found(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "'The discount is ' || CAST(CAST(round(l_discount * 100) AS INT) AS STRING) || '%.'")
-    return q.select("l_orderkey", "l_linenumber", "value", "unit_norm", F.array_join("concepts", " ").alias("concept"))
+    text = "'The discount is ' || CAST(CAST(round(part * 100) AS INT) AS STRING) || '%.'"
+    concept = F.array_join("concepts", " ").alias("concept")
+    return found(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], text, parts={"part": "l_discount"}, results=["value", "unit_norm", concept])
 
 
 @query(

@@ -38,6 +38,37 @@ def test_queries_read_each_text_once(spark, name):
     assert "strategy=broadcast" in plan and "Aggregate [_key" in plan
 
 
+@pytest.mark.parametrize("name", ["percent_amounts"])
+def test_queries_tell_rows_apart_by_plain_columns(spark, name):
+    """No row's sentence is made or tested: neither for the count, nor to tell rows apart, nor for the join."""
+    rows = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.01")).splitlines()
+    below = [line for i, line in enumerate(rows) if "Relation [" in line for line in rows[i - 3 : i]]
+    assert any("Aggregate [_key0" in line for line in below) and not any("concat" in line or "RLIKE" in line for line in below)
+
+
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_parts_give_the_rows_of_extract(spark, monkeypatch, most):
+    monkeypatch.setattr(repeated, "BROADCAST_TEXT_BYTES", most)
+    made = F.expr("'We saw ' || CAST(CAST(n AS INT) AS STRING) || CASE WHEN few THEN ' or ' ELSE ' of ' END || '9 boats.'")
+
+    def same(rows, told, results=("*",)):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 8)], "id int, n double, few boolean")
+        got = repeated.extract_repeated(df, "text", ["id"], parts=["n", "few"], text=made, results=results)
+        want = extract(df.withColumn("text", made), "text", ["id"])
+        want = want if results == ("*",) else want.select("id", *results)
+        assert got.columns == want.columns and plain(got) == plain(want)
+        plan = plan_of(got)
+        assert ("_key1" in plan, "_key0" in plan) == {"parts": (True, True), "text": (False, True), "rows": (False, False)}[told]
+        return got.count()
+
+    assert same([(2.0, True), (2.5, True), (3.0, False), (None, True), (None, None), (0.0, False), (-0.0, False), (-7.0, True)], "parts") > 0
+    assert same([(2.0, True), (4.0, False)], "parts", ("value", F.array_join("unit_surface", " ").alias("unit"))) > 0
+    assert same([(2.0, None), (2.0, True), (3.0, False)], "text") > 0  # a text made of a missing part
+    assert same([(2 + i / 100, True) for i in range(60)], "text") > 0  # many parts for one text
+    assert same([(float(i % 7), None) for i in range(20)], "text") > 0
+    assert same([(None, True)], "rows") == 0
+
+
 def test_repeated_texts_are_rendered_as_others(spark):
     df = spark.createDataFrame([(10 * i + j, t) for i in range(9) for j, t in enumerate(["The fee is $5 and 3%.", "nothing", "", None])], "id int, text string")
     got, want = repeated.normalized_text_repeated(df, "id"), rendering.normalized_text(df, extract(df, "text", ["id"]), "id")

@@ -160,8 +160,9 @@ def scientific_notation(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber / l_quantity AS value, '% order' AS unit_norm, false AS unit_scientific FROM lineitem WHERE l_quantity > 0")
 def fraction_values(spark, sf_dir):
-    text = "'They lost ' || CAST(l_linenumber AS STRING) || CASE WHEN l_orderkey % 2 = 0 THEN ' out of ' ELSE ' of ' END || CAST(CAST(l_quantity AS INT) AS STRING) || ' orders.'"
-    return found(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], text).select("l_orderkey", "l_linenumber", "value", "unit_norm", "unit_scientific")
+    parts = {"part": "l_linenumber", "whole": "CAST(l_quantity AS INT)", "even": "l_orderkey % 2 <=> 0"}
+    text = "'They lost ' || CAST(part AS STRING) || CASE WHEN even THEN ' out of ' ELSE ' of ' END || CAST(whole AS STRING) || ' orders.'"
+    return found(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], text, parts=parts, results=["value", "unit_norm", "unit_scientific"])
 
 
 @query("SELECT p_partkey, p_size + CASE p_partkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 WHEN 2 THEN 0.75 ELSE 0.125 END::DOUBLE AS value, 'mile' AS unit_norm FROM part")

@@ -154,14 +154,15 @@ def scale_suffix(spark, sf_dir):
     regexp_replace(printf('%e', l_quantity * pow(10.0, l_linenumber + 2)), '\\.?0+e', 'e') AS sci_short FROM lineitem"""
 )
 def scientific_notation(spark, sf_dir):
-    text = "'The ring is ' || CAST(CAST(l_quantity AS INT) AS STRING) || CASE l_orderkey % 3 WHEN 0 THEN '×10^' WHEN 1 THEN '×e+' ELSE 'E' END || CAST(l_linenumber + 2 AS STRING) || ' metres long.'"
-    return found(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], text).select("l_orderkey", "l_linenumber", "value", "unit_norm", "sci", "sci_short")
+    parts = {"whole": "CAST(l_quantity AS INT)", "mark": "CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END", "line": "l_linenumber"}
+    text = "'The ring is ' || CAST(whole AS STRING) || CASE mark WHEN 0 THEN '×10^' WHEN 1 THEN '×e+' ELSE 'E' END || CAST(line + 2 AS STRING) || ' metres long.'"
+    return found(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], text, parts=parts, results=["value", "unit_norm", "sci", "sci_short"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber / l_quantity AS value, '% order' AS unit_norm, false AS unit_scientific FROM lineitem WHERE l_quantity > 0")
 def fraction_values(spark, sf_dir):
-    parts = {"part": "l_linenumber", "whole": "CAST(l_quantity AS INT)", "even": "l_orderkey % 2 <=> 0"}
-    text = "'They lost ' || CAST(part AS STRING) || CASE WHEN even THEN ' out of ' ELSE ' of ' END || CAST(whole AS STRING) || ' orders.'"
+    parts = {"line": "l_linenumber", "whole": "CAST(l_quantity AS INT)", "even": "l_orderkey % 2 <=> 0"}
+    text = "'They lost ' || CAST(line AS STRING) || CASE WHEN even THEN ' out of ' ELSE ' of ' END || CAST(whole AS STRING) || ' orders.'"
     return found(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], text, parts=parts, results=["value", "unit_norm", "unit_scientific"])
 
 

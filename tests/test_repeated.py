@@ -38,7 +38,7 @@ def test_queries_read_each_text_once(spark, name):
     assert "strategy=broadcast" in plan and "Aggregate [_key" in plan
 
 
-@pytest.mark.parametrize("name", ["percent_amounts", "fraction_values"])
+@pytest.mark.parametrize("name", ["percent_amounts", "fraction_values", "scientific_notation"])
 def test_queries_tell_rows_apart_by_plain_columns(spark, name):
     """No row's sentence is made or tested: neither for the count, nor to tell rows apart, nor for the join."""
     rows = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.01")).splitlines()
